@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, licenses, simhash
+from loomwork.llm import decontam, langid, licenses, simhash
 from loomwork.llm.common import table
 
 
@@ -16,9 +16,13 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.classify(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_licenses, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op7_licenses, op8_language, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
