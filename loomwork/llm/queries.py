@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, langid, licenses, simhash, tokenbin
+from loomwork.llm import decontam, langid, licenses, mixing, simhash, tokenbin
 from loomwork.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.encoded(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op6_tokens, op7_licenses, op8_language, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op5_mixing, op6_tokens, op7_licenses, op8_language, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.oracle_sql()}
