@@ -32,5 +32,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_mixing, op6_tokens, op7_licenses, op8_language, op10_decontamination)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository, deleted together with this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op5_mixing, op6_tokens, op7_licenses, op8_language, op10_decontamination, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.oracle_sql()}
