@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, langid, licenses, mixing, simhash, tokenbin
+from loomwork.llm import decontam, langid, licenses, mixing, simhash, tokenbin, warc
 from loomwork.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op5_mixing, op6_tokens, op7_licenses, op8_language, op10_decontamination, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op5_mixing, op6_tokens, op7_licenses, op8_language, op10_decontamination, pipeline)}
+OP2_SQL = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, url, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest, url,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_mixing": mixing.oracle_sql()}
