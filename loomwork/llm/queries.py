@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, langid, licenses, mixing, quality, simhash, tokenbin, warc
+from loomwork.llm import decontam, htmlmain, langid, licenses, mixing, quality, simhash, tokenbin, warc
 from loomwork.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
+def op9_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality, op5_mixing, op6_tokens, op7_licenses, op8_language, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality, op5_mixing, op6_tokens, op7_licenses, op8_language, op9_article, op10_decontamination, pipeline)}
 OP2_SQL = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
 q AS (SELECT page_id, url, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
