@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import decontam, htmlmain, langid, licenses, mixing, quality, simhash, tokenbin, warc
+from loomwork.llm import decontam, htmlmain, langid, licenses, linededup, mixing, quality, simhash, tokenbin, warc
 from loomwork.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_components(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality, op5_mixing, op6_tokens, op7_licenses, op8_language, op9_article, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_warc, op3_quality, op4_lines, op5_mixing, op6_tokens, op7_licenses, op8_language, op9_article, op10_decontamination, pipeline)}
 OP2_SQL = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
 q AS (SELECT page_id, url, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
