@@ -48,7 +48,7 @@ def stage(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     with arrow_rows(spark, rows) if rows else contextlib.nullcontext():
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)  # snappy would hold memory outside the heap
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -56,31 +56,31 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     )
 
 
+#: Level tables are written in one file for so many cells.
+CELLS_A_FILE = 1_000_000
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, language, topic, tokens) with ``weight``: the product of the factors that meet the targets.
 
-    targets: for each dimension (level, target). Each step sums the cells weighted by the other two factors; level tables
-    are small next to the cells and Spark decides by their size whether to broadcast them. Levels without a target keep 0.
+    targets: for each dimension (level, target). Each step sums the cells weighted by the other two factors and writes
+    its level table, so plans stay small; level tables are small next to the cells, and Spark decides by their size
+    whether to broadcast them. Levels that no cell has get factor 0; so do cells without a target.
     """
-    factors = {d: stage(t.select(d, "target", F.lit(1.0).alias(d[0])), f"f-{d}") for d, t in targets.items()}
+    files = max(1, -(-cells.count() // CELLS_A_FILE))
+    cells = cells.coalesce(files)
+    factors = {d: stage(t.select(d, "target", F.lit(1.0).alias(d[0])).coalesce(files), f"f-{d}") for d, t in targets.items()}
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            others = [x for x in DIMENSIONS if x != d]
-            weighed = cells
-            for x in others:
-                weighed = weighed.join(factors[x].select(x, x[0]), x)
-            sums = weighed.groupBy(d).agg(F.sum(F.col("tokens") * F.col(others[0][0]) * F.col(others[1][0])).alias("now"))
+            a, b = (x for x in DIMENSIONS if x != d)
+            weighed = cells.join(factors[a].select(a, a[0]), a).join(factors[b].select(b, b[0]), b)
+            sums = weighed.groupBy(d).agg(F.sum(F.col("tokens") * F.col(a[0]) * F.col(b[0])).alias("sum"))
             old = factors[d]
-            new = old.join(sums, d, "left").select(
-                d,
-                "target",
-                F.coalesce(F.try_divide("target", "now"), F.lit(0.0)).alias(d[0]),
-                F.col(d[0]).alias("before"),
-            )
-            factors[d] = stage(new, f"f-{d}")
+            new = old.select(d, "target", F.col(d[0]).alias("before")).join(sums, d, "left")
+            new = new.select(d, "target", F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias(d[0]), "before")
+            factors[d] = stage(new.coalesce(files), f"f-{d}")
             discard(old)
-        first = factors["source"]
-        moved = first.agg(F.max(F.abs(F.try_divide(first["s"], first["before"]) - 1))).first()[0]
+        moved = factors["source"].agg(F.max(F.abs(F.try_divide("s", "before") - 1))).first()[0]
         if moved is None or moved < tolerance:
             break
     out = cells
