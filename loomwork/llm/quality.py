@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, new_folder, stage
@@ -140,11 +140,13 @@ def probabilities(counts: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
             F.greatest(F.coalesce(i - (i + 1) * y * F.try_divide(f"n{i + 1}", F.col(f"n{i}")), F.lit(0.5)), F.lit(0.0)), F.lit(float(i))
         )
         discounts = found.select("lang", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-        rows = own.join(discounts, "lang").withColumn("h", F.shiftright("g", BITS))
+        # a row for each language; a context has at most 64 n-grams, so its sums are windows over one dealing
+        rows = own.join(F.broadcast(discounts), "lang").withColumn("h", F.shiftright("g", BITS))
         rows = rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        contexts = rows.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("taken"))
-        contexts = stage(contexts.select("lang", "h", "total", (F.col("taken") / F.col("total")).alias("w")), "contexts")
-        rows = rows.join(contexts, ["lang", "h"])
+        context = Window.partitionBy("lang", "h")
+        rows = rows.select("lang", "g", "h", "c", "d", F.sum("c").over(context).alias("total"), F.sum("d").over(context).alias("taken"))
+        rows = stage(rows.withColumn("w", F.col("taken") / F.col("total")), "contexts")
+        contexts = rows.groupBy("lang", "h").agg(F.max("w").alias("w"))
         if lower is None:
             below = F.lit(1.0 / (1 << BITS))
         else:
@@ -154,7 +156,7 @@ def probabilities(counts: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
             below = F.col("q")
         p = (F.col("c") - F.col("d")) / F.col("total") + F.col("w") * below
         lower = stage(rows.select("lang", "g", p.alias("p")), "probabilities")
-        out.append((k, lower, contexts.select("lang", "h", "w")))
+        out.append((k, lower, contexts))
     return out
 
 
