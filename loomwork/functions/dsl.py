@@ -82,7 +82,8 @@ def _expression(tokens: list[tuple[str, str]], at: int):
         at += 1
 
 
-NULL = F.lit(None).cast
+def NULL(kind: str) -> Column:
+    return F.lit(None).cast(kind)
 
 
 def _truthy(c: Column) -> Column:

@@ -34,9 +34,9 @@ def keywords(df: DataFrame, key: str, text: Column, top: int = TOP) -> DataFrame
     one = df.select(F.col(key).alias(key), words(text).alias("_w"))
     weighed = one.select(
         key,
-        F.explode(F.concat(F.transform(w, lambda x: F.struct(x.alias("keyword"), F.lit(1).alias("n"))), F.transform(pairs(w), lambda x: F.struct(x.alias("keyword"), F.lit(2).alias("n"))))).alias("i"),
+        F.explode(F.concat(F.transform(w, lambda x: F.struct(x.alias("keyword"), F.lit(1).alias("n"))), F.transform(pairs(w), lambda x: F.struct(x.alias("keyword"), F.lit(2).alias("n"))))).alias("_item"),
     )
-    summed = weighed.groupBy(key, "i.keyword").agg(F.sum("i.n").alias("weight"))
+    summed = weighed.groupBy(key, "_item.keyword").agg(F.sum("_item.n").alias("weight"))
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "keyword")
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
