@@ -70,3 +70,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def hex64(column) -> "F.Column":
     """A signed long as 16 lower-case hex digits of its bits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def shielded(df: DataFrame, names: list[str]) -> DataFrame:
+    """df's columns under names that nothing clashes with (_own_0, _own_1, ...), and copies of the named ones."""
+    own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(df.columns)]
+    return df.select(*own, *[F.col(f"`{c}`").alias(c) for c in names])
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``shielded`` put away, as they were."""
+    return df.select(*[F.col(f"_own_{i}").alias(c) for i, c in enumerate(columns)])

@@ -12,7 +12,8 @@ def spanning_forest(pairs) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the given pairs (one task's own pairs)."""
     parent: dict[int, int] = {}
     kept = []
-    for a, b in pairs:
+    for x, y in pairs:
+        a, b = x, y
         while (p := parent.setdefault(a, a)) != a:
             parent[a] = parent[p]
             a = parent[p]
@@ -21,7 +22,7 @@ def spanning_forest(pairs) -> list[tuple[int, int]]:
             b = parent[p]
         if a != b:
             parent[max(a, b)] = min(a, b)
-            kept.append((max(a, b), min(a, b)))
+            kept.append((x, y))
     return kept
 
 
@@ -54,7 +55,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = stage(small, "edges")
         discard(e)
         e = after
-        now = tuple(e.agg(F.count("*"), F.sum(F.expr("xxhash64(hi, lo) % 1000000007")), F.sum(F.expr("hash(lo, hi)"))).first())
+        now = tuple(e.agg(F.count("*"), F.sum(F.expr("xxhash64(hi, lo) % 1000003")), F.sum(F.expr("hash(lo, hi) % 1000033"))).first())
         if now == seen:
             break
         seen = now

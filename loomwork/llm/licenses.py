@@ -86,7 +86,7 @@ def postfix(expression: str) -> list[str]:
             waiting.append(low)
             operand_next = True
         elif token == "(":
-            if not operand_next:
+            if not operand_next or waiting[-1:] == ["with"]:
                 raise BadExpression(expression)
             waiting.append(token)
         elif token == ")":

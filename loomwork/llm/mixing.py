@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import discard, stage
+from loomwork.llm.common import discard, restored, shielded, stage
 
 DIMENSIONS = ("source", "language", "topic")
 #: Target share of a level: its share of tokens to this power, normalised (1 keeps the shares, 0 makes levels equal).
@@ -66,6 +66,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     targets: for each dimension (level, target). Each step sums the cells weighted by the other two factors and writes
     its level table, so plans stay small; level tables are small next to the cells, and Spark decides by their size
     whether to broadcast them. Levels that no cell has get factor 0; so do cells without a target.
+    Where targets contradict each other (a level that lies wholly inside a smaller one) raking ends after ``sweeps``, and
+    the last dimension's targets are the ones that hold.
     """
     files = max(1, -(-cells.count() // CELLS_A_FILE))
     cells = cells.coalesce(files)
@@ -138,8 +140,9 @@ def mixture(docs: DataFrame, language: str = "lang", topic: Column | None = None
 
 def sample(docs: DataFrame, language: str = "lang", topic: Column | None = None, powers=None, targets=None) -> DataFrame:
     """The sampled rows of docs, with their columns."""
-    own = _with_probability(docs, language, topic, powers, targets)
-    return own.where(uniform() < F.col("_probability")).select(docs.columns)
+    own = shielded(docs, list(dict.fromkeys(["doc_id", "text", "source", language])))
+    own = _with_probability(own, language, topic, powers, targets)
+    return restored(own.where(uniform() < F.col("_probability")), docs.columns)
 
 
 def oracle_sql(table: str = "documents", sweeps: int = SWEEPS) -> str:

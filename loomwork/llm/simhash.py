@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, hex64, stage
+from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, hex64, restored, shielded, stage
 from loomwork.llm.components import connected_components, spanning_forest
 
 WORDS = 4
@@ -270,7 +270,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     heads = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi")
+    own = shielded(docs, ["doc_id"])
+    named = own.where("doc_id is not null").join(heads, "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy("doc_id")
     one = named.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return restored(one.unionByName(own.where("doc_id is null")), docs.columns)
