@@ -44,9 +44,24 @@ def predicate(value: str, kind: str | None = None):
     return lambda c: F.lower(trimmed(c)) == F.lit(s.lower())
 
 
-def matches(c: Column, value: str, kind: str | None = None, is_array: bool = False) -> Column:
+def strict_predicate(value: str, kind: str | None = None):
+    """The stricter grammar: ``=`` as an operator, date bounds in either order, and numbers equal as numbers on any field."""
+    s = value.strip()
+    if s.startswith("="):
+        s = s[1:].strip()
+        same = _number(s)
+        return (lambda c: plain_number(c) == F.lit(same)) if same is not None and kind != "date" else predicate(s)
+    if kind == "date" and (r := _DATES.fullmatch(s)):
+        low, high = sorted((r[1].strip(), r[2].strip()))
+        return lambda c: trimmed(c).between(low, high)
+    if kind is None and (same := _number(s)) is not None:
+        return lambda c: F.coalesce(plain_number(c) == F.lit(same), F.lit(False)) | (F.lower(trimmed(c)) == F.lit(s.lower()))
+    return predicate(value, kind)
+
+
+def matches(c: Column, value: str, kind: str | None = None, is_array: bool = False, strict: bool = False) -> Column:
     """Whether a field has a value that the filter takes; for arrays any member will do. Never null."""
-    test = predicate(value, kind)
+    test = strict_predicate(value, kind) if strict else predicate(value, kind)
     found = F.exists(c, lambda x: test(x.cast("string"))) if is_array else test(c.cast("string"))
     return F.coalesce(found, F.lit(False))
 

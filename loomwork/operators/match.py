@@ -15,6 +15,10 @@ THRESHOLD, PAIRS, SHOWN = 0.85, 500, 25
 DISPLAY = ("full_name", "first_name", "last_name", "company", "email", "phone", "city", "country", "job_title", "amount")
 
 
+def displayed(fields: Sequence[str]) -> list[str]:
+    return [c for c in DISPLAY if c in fields][:4]
+
+
 def keyed(df: DataFrame, key: Column, canonical: str, seq: str) -> DataFrame:
     """(seq, k, s, block): rows with a key, the key, its sorted words and its first character."""
     own = df.select(F.col(seq).alias("seq"), key_of(key.cast("string"), canonical).alias("k")).where("k <> ''")

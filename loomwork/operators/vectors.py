@@ -101,6 +101,13 @@ def fused(lists: Sequence[DataFrame], key: str, k: int = 60, top: int = 10) -> D
     return rows.groupBy(key).agg(F.sum("s").alias("score")).orderBy(F.desc("score"), key).limit(top)
 
 
+def vectors_or_lsa(df: DataFrame, seq: str, text: str, make: Callable[[], object] | None = None, dimensions: int = 64) -> DataFrame:
+    """(seq, v): vectors of the embedder if there is one that has dimensions, else by ``lsa``."""
+    if make is not None and make().dimension:
+        return embedded(df, text, make, "v").select(F.col(seq).alias("seq"), "v")
+    return lsa(df, seq, text, dimensions)
+
+
 def lsa(df: DataFrame, seq: str, text: str, dimensions: int = 64, vocabulary: int = 6000):
     """Unit vectors by TF-IDF and a truncated SVD (MLlib), for when no embedder is there. Not reproducible to the bit."""
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StopWordsRemover

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions import columns, dsl, filters, geo
+from loomwork.functions import dsl, filters, geo
 from loomwork.operators import enrich, entities, extract, facets, tags, vectors
 from loomwork.operators.canon import Embed, Mapping
 from loomwork.plans.dataset import Dataset, filter_kind
@@ -255,11 +255,15 @@ class Collection:
 
     def register(self, view: str | None = None) -> None:
         """A temporary view of the entities for SQL."""
-        self.entities().createOrReplaceTempView(view or columns_name(self.name))
-
-
-def columns_name(name: str) -> str:
-    return sinks.table_name(name, "")
-
-
-__all__ = ["Collection", "columns"]
+        self.entities().createOrReplaceTempView(view or sinks.table_name(self.name, ""))
+
+    @classmethod
+    def restored(cls, spec: dict, open_file: Callable[[str], DataFrame], embed: Embed | None = None) -> Collection:
+        """A collection from a saved spec; files are read anew by name."""
+        out = cls(spec["name"], spec["key"], embed)
+        out.mapping = Mapping(dict(spec["overrides"]), {k: tuple(v) for k, v in spec["custom"].items()})
+        out.transforms = dict(spec["transforms"])
+        out.segments = {k: [tuple(x) for x in v] for k, v in spec["segments"].items()}
+        for name in spec["files"]:
+            out.add(name, open_file(name))
+        return out

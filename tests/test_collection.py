@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.plans.collection import Collection
+from loomwork.plans import linkage
 from loomwork.plans.dataset import Dataset
 from loomwork.sources.files import from_rows
 from loomwork.streaming import ingest
@@ -90,6 +91,28 @@ def test_dataset(spark):
     assert '"range"' in d.query_json("q", [("amount", ">5")])
 
 
+def test_matching_and_linking_datasets(spark):
+    a = Dataset.load(table(spark, ["company", "city"], [(f"harborview bank {i}{i}", "Oslo") for i in range(5)] + [("lone", "Bergen")]))
+    b = Dataset.load(table(spark, ["organization", "town"], [(f"harborview bnk {i}{i}", "oslo") for i in range(5)] + [("other", "Rome")]))
+    m = linkage.pair_up(a, b)
+    assert m.key == "company" and m.report.first()["matched"] == 5
+    row = m.shown.where("a_seq = 0").first()
+    assert row.a.company == "harborview bank 00" and row.b.city == "oslo"
+    assert linkage.link_keys([a, b]).first()["field"] == "company"
+    out = linkage.link([("a", a), ("b", b)], "company", 0.95)
+    assert out.where("n_sources = 2").count() == 10 and linkage.flattened(out).count() == 7
+
+
+def test_saved_spec(spark, tmp_path):
+    from loomwork.sources import sinks
+
+    c = two_files(spark).segment("s", [("company", "beta")]).transform("up", "upper(Company)")
+    sinks.save_spec(c.spec(), str(tmp_path / "spec.json"))
+    tables = dict(c.files)
+    again = Collection.restored(sinks.load_spec(str(tmp_path / "spec.json")), tables.get)
+    assert again.spec() == c.spec() and again.detail().first() == c.detail().first()
+
+
 def test_stream_merges_batches_once(spark, tmp_path):
     source, folder = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()

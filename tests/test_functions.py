@@ -118,6 +118,13 @@ def test_filters(spark, value, kind, rows, expected):
     assert values(spark, rows, filters.matches(F.col("v"), value, kind)) == expected
 
 
+def test_strict_filters(spark):
+    ask = lambda rows, v, kind=None: values(spark, rows, filters.matches(F.col("v"), v, kind, strict=True))
+    assert ask(["5.0", "5", "x"], "=5") == [True, True, False]
+    assert ask(["2024-01-15"], "2024-02-01..2024-01-01", "date") == [True]
+    assert ask(["5.0", "x"], "5") == [True, False] and ask(["a"], "= A") == [True]
+
+
 def test_filter_takes_any_member(spark):
     got = values(spark, [(["golf", "wine"],), ([],), (None,)], filters.matches(F.col("v"), "Wine", None, True), "v array<string>")
     assert got == [True, False, False]
