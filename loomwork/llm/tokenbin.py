@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +30,23 @@ from loomwork.llm.files import Output, reader
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 #: A shard is closed at so many ids (a longer document is whole in a shard of its own).
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 20
 #: Rounds of pair replacement, pairs replaced in one round, and the least count of a replaced pair.
 ROUNDS, PAIRS_A_ROUND, LEAST = 3, 5000, 12
-#: Distinct chunks whose ids a worker remembers (some 160 MB), from task to task.
-MEMO = 800_000
+#: Distinct parts of texts whose ids a worker remembers from task to task (some 110 MB).
+MEMO = 600_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Pieces that byte-level BPE never joins: white space as its pre-tokenizer parts it, and the runs between.
 _CHUNK = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Byte-level BPE writes a byte as a printable character: itself, or for the others the next one from 256 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SHOWN = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+_POINTS = ".,;:!?"
 _BLANK = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 MAGIC = b"LWREPAIR"
+#: The table of a round's pairs has 2**_SLOTS slots, told by multiplication with an odd number.
+_SLOTS, _ODD = 20, 0x9E3779B1
 
 
 def tokenizer_path() -> str:
@@ -48,37 +55,74 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+class _Parts(dict):
+    """Parts of a text, between spaces, to the bytes of their ids; each is encoded when it is first asked for.
+
+    A part without a line feed stands for itself with a space before it. None stands for a part that can't be encoded
+    by itself: one with white space at its bounds.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tails: dict[str, bytes] = {}
+        self.feed = self.encode("\n")
+
+    def encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def letters(self, lead: str, word: str) -> bytes:
+        """Letters, or a space and letters, are one piece of the pre-tokenizer, so the model takes their bytes at once."""
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
+
+    def __missing__(self, x: str) -> bytes | None:
+        if x.isalpha():
+            out = self.letters(_SHOWN[0x20], x)
+        elif not x or x[-1] in _BLANK or (x[0] in _BLANK and (x[0] != "\n" or x[1] in _BLANK)):
+            out = None
+        elif x[-1] in _POINTS and (stem := x.rstrip(_POINTS)) and stem[-1] < "\u0250" and stem[-1].isalpha():
+            tail = x[len(stem) :]  # punctuation after a letter is a piece by itself
+            if tail not in self.tails:
+                self.tails[tail] = self.encode(tail)
+            out = self[stem] + self.tails[tail]
+        elif x[0] == "\n" and x[1:].isalpha():
+            out = self.feed + self.letters("", x[1:])
+        else:
+            out = self.encode(x if x[0] == "\n" else " " + x)
+        self[x] = out
+        return out
+
+
 class Encoder:
-    """The tokenizers library's ids of a text. Chunks between white space are encoded once and remembered."""
+    """The tokenizers library's ids of a text. Its parts between spaces are encoded once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """Little-endian u32 ids."""
+        self.known = _Parts(self.tokenizer)
+
+    def ids(self, text: str, memo: int = MEMO) -> bytes:
+        """Little-endian u32 ids.
+
+        A space before a character that is no white space always starts a piece, and a line feed between two such
+        characters is a piece by itself; most texts part there. Others are parted as the pre-tokenizer does it.
+        """
+        if len(self.known) > memo:
+            self.known.clear()
+        try:
+            return b"".join(map(self.known.__getitem__, ("\n" + text).replace("\n", " \n").split(" ")[1:]))[4:]
+        except TypeError:
+            return self.ids_of_chunks(text)
+
+    def ids_of_chunks(self, text: str) -> bytes:
+        own: dict[str, bytes] = {}
         chunks = _CHUNK.findall(text)
-        known = self.known
-        if new := list(set(chunks).difference(known)):
-            if len(known) + len(new) > MEMO:
-                known.clear()
-                new = list(set(chunks))
-            words = [c for c in new if c[-1] not in _BLANK]
-            blanks = [c for c in new if c[-1] in _BLANK]
-            for chunk, e in zip(blanks, self.tokenizer.encode_batch(blanks, add_special_tokens=False)):
-                known[chunk] = np.array(e.ids, "<u4").tobytes()
-            for at in range(0, len(words), 1000):  # a line each; a line feed is always one id of its own there
-                part = words[at : at + 1000]
-                lines = "\n" + "\n".join(part)
-                ids = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == self.line_feed).tolist() + [len(ids)]
-                raw = ids.tobytes()
-                known.update(zip(part, [raw[4 * a + 4 : 4 * z] for a, z in zip(cuts, cuts[1:])]))
-        return b"".join(map(known.__getitem__, chunks))
+        new = list(set(chunks))
+        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            own[chunk] = np.array(e.ids, "<u4").tobytes()
+        return b"".join(map(own.__getitem__, chunks))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -108,15 +152,17 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int,
     if len(good) > most:
         good = good[np.lexsort((good, -counts[good]))[:most]]
     chosen = np.sort(ordered[edges[good]])
+    # a table of slots; of pairs that share a slot the last one is taken this round
+    slot_of = lambda p: ((p * wide(_ODD)) >> wide(8 * wide().itemsize - _SLOTS)).astype(np.int64)
+    slots = np.full(1 << _SLOTS, -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
+    slots[slot_of(chosen)] = np.arange(len(chosen))
+    rule = slots[slot_of(pairs)]
+    at = np.flatnonzero((rule >= 0) & inside)
+    rule = rule[at]
+    hit = chosen[rule] == pairs[at]
+    at, rule = at[hit], rule[hit].astype(np.int64)
     left = (chosen >> shift).astype(np.int64)
     right = (chosen & ((wide(1) << shift) - wide(1))).astype(np.int64)
-    is_left, is_right = np.zeros(first_new, bool), np.zeros(first_new, bool)
-    is_left[left], is_right[right] = True, True
-    at = np.flatnonzero(inside & is_left[seq[:-1]] & is_right[seq[1:]])
-    rule = np.searchsorted(chosen, pairs[at])
-    rule[rule == len(chosen)] = 0
-    hit = chosen[rule] == pairs[at]
-    at, rule = at[hit], rule[hit]
     # of neighbouring hits every other one, from the left
     start = np.concatenate(([True], np.diff(at) > 1))
     run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
@@ -145,12 +191,24 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_new: int, rounds=ROUNDS
     return seq, np.diff(np.concatenate(([-1], ends))), rules
 
 
-def expansions(rules: np.ndarray, first_new: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    one = lambda s: out[s - first_new] if s >= first_new else np.array([s], np.uint32)
+def expansion_lengths(rules: np.ndarray, first_new: int) -> np.ndarray:
+    """How many ids each rule stands for; a rule refers to ids and earlier rules."""
+    out: list[int] = []
     for a, b in rules.tolist():
-        out.append(np.concatenate([one(a), one(b)]))
-    return out
+        out.append((out[a - first_new] if a >= first_new else 1) + (out[b - first_new] if b >= first_new else 1))
+    return np.array(out, np.int64)
+
+
+def expansions(rules: np.ndarray, first_new: int) -> np.ndarray:
+    """The ids of all rules, one after another: pairs are put in place of nonterminals until none is left."""
+    seq = rules.reshape(-1)
+    while (new := seq >= first_new).any():
+        sizes = 1 + new.astype(np.int64)
+        at = (np.cumsum(sizes) - sizes)[new]
+        pairs = rules[seq[new] - first_new]
+        seq = np.repeat(seq, sizes)
+        seq[at], seq[at + 1] = pairs[:, 0], pairs[:, 1]
+    return seq.astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first_new: int) -> np.ndarray:
@@ -169,7 +227,7 @@ def expand(symbols: np.ndarray, pool: np.ndarray, starts: np.ndarray, lengths: n
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
     symbols, per_doc, rules = compress(ids, lengths, vocabulary)
-    sizes = np.array([len(x) for x in expansions(rules, vocabulary)], "<u8")
+    sizes = expansion_lengths(rules, vocabulary).astype("<u8")
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
     firsts = lambda n: np.concatenate(([0], np.cumsum(n))).astype("<u8").tobytes()
     return b"".join(
@@ -213,10 +271,9 @@ class Shard:
         self.first_id = take("<u8", self.n_docs + 1).astype(np.int64)
         rules = np.stack([take("<u4", n_rules), take("<u4", n_rules)], 1).astype(np.int64)
         self.lengths = take("<u8", n_rules).astype(np.int64)
-        parts = expansions(rules, self.first_new)
-        if [len(x) for x in parts] != self.lengths.tolist():
+        self.pool = expansions(rules, self.first_new)
+        if not np.array_equal(expansion_lengths(rules, self.first_new), self.lengths) or len(self.pool) != self.lengths.sum():
             raise ValueError("the rules don't have their stated lengths")
-        self.pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.at = at
 
@@ -241,7 +298,9 @@ class Shard:
         return part[skip : skip + max(0, z - a)]
 
 
-def write(docs: DataFrame, folder: str, text: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
+def write(
+    docs: DataFrame, folder: str, text: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS, memo: int = MEMO
+) -> DataFrame:
     """Encode every text (null: empty), append END, write shards to the folder in ascending doc_id.
 
     Returns the manifest (part, shard, name, n_docs, n_ids); (part, shard) is the order of the documents.
@@ -270,7 +329,7 @@ def write(docs: DataFrame, folder: str, text: str = "text", tokenizer: str | Non
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = encoder.ids(t or "") + end
+                own = encoder.ids(t or "", memo) + end
                 if held and held + len(own) // 4 > shard_ids:
                     yield close()
                     doc_ids, data, held, number = [], [], 0, number + 1
@@ -324,15 +383,18 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    shards = placed(manifest).select("name", "base").repartition("name")
+    n = manifest.count()  # a few shards a task; a fixed number, since the rows are too small to tell their work
+    shards = placed(manifest).select("name", "base").repartition(max(1, min(20_000, n // 3 + 1)), "name")
     return stage(shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"), "tokens")
 
 
-def encoded(docs: DataFrame, text: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
+def encoded(
+    docs: DataFrame, text: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS, memo: int = MEMO
+) -> DataFrame:
     """Write docs as token shards in the shared folder and read every document back from them.
 
     One row per input row: doc_id, start (ids of all documents before), n_tokens (END included), ids_crc32.
     Null and empty texts are END alone. An empty table writes no shard and gives no row.
     """
     folder = new_folder(docs.sparkSession, "shards")
-    return read(write(docs, folder, text, tokenizer, shard_ids), folder)
+    return read(write(docs, folder, text, tokenizer, shard_ids, memo), folder)
