@@ -29,7 +29,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenbin.encoded(table(spark, sf_dir, "documents"))
+    return tokenbin.encoded(table(spark, sf_dir, "documents"), memo=1_200_000)  # a worker does nothing else, so it may hold more
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op9_article(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,21 @@ SELECT page_id, payload_bytes, payload_digest, url,
 FROM r
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op5_mixing": mixing.oracle_sql()}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP10_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS t
+  FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(k) WHERE len(w) > 0),
+s AS (SELECT DISTINCT n FROM i),
+h AS MATERIALIZED (SELECT doc_id, k, x.n, i.item_id FROM (SELECT doc_id, k, s.n, array_to_string(w[k:k + s.n - 1], ' ') AS t
+  FROM d, s, unnest(range(1, len(w) - s.n + 2)) AS u(k)) x JOIN i ON i.n = x.n AND i.t = x.t),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL, "op2_warc": OP2_SQL, "op5_mixing": mixing.oracle_sql()}
