@@ -22,26 +22,36 @@ def _number(s: str) -> float | None:
     return float(s) if re.match(NUMBER, s.strip()) else None
 
 
-def predicate(value: str, kind: str | None = None):
-    """A function from a text column to a boolean column for one filter value. kind: num, date or neither."""
+def predicate(value: str, kind: str | None = None, typed: bool = False):
+    """A function from a column to a boolean column for one filter value. kind: num, date or neither.
+
+    Columns are text unless typed says that they are numbers (num) or clean ISO dates; typed comparisons stay plain, so
+    that they reach the scan.
+    """
+    number, text = ((lambda c: c), (lambda c: c)) if typed else (plain_number, trimmed)
     s = value.strip()
     m = _OPERATOR.fullmatch(s)
     if kind == "num":
         if m:
             bound = _number(m[2])
-            return (lambda c: F.lit(False)) if bound is None else (lambda c: _OPS[m[1]](plain_number(c), F.lit(bound)))
+            return (lambda c: F.lit(False)) if bound is None else (lambda c: _OPS[m[1]](number(c), F.lit(bound)))
         r = _NUMBERS.fullmatch(s)
         ends = [_number(x) for x in r.groups()] if r else [None]
         if None not in ends:
-            return lambda c: plain_number(c).between(min(ends), max(ends))
+            return lambda c: number(c).between(min(ends), max(ends))
         if (same := _number(s)) is not None:
-            return lambda c: plain_number(c) == F.lit(same)
+            return lambda c: number(c) == F.lit(same)
     if kind == "date":
         if m:
-            return lambda c: _OPS[m[1]](trimmed(c), F.lit(m[2].strip()))
+            return lambda c: _OPS[m[1]](text(c), F.lit(m[2].strip()))
         if r := _DATES.fullmatch(s):
-            return lambda c: trimmed(c).between(r[1].strip(), r[2].strip())
-    return lambda c: F.lower(trimmed(c)) == F.lit(s.lower())
+            return lambda c: text(c).between(r[1].strip(), r[2].strip())
+    return lambda c: F.lower(trimmed(c.cast("string"))) == F.lit(s.lower())
+
+
+def scanned(c: Column, value: str, kind: str) -> Column:
+    """The filter on a column that holds numbers or clean ISO dates, for use in where(): pushed down to the scan."""
+    return predicate(value, kind, True)(c)
 
 
 def strict_predicate(value: str, kind: str | None = None):

@@ -52,7 +52,14 @@ def cells(df: DataFrame, order: list[str], columns: list[str] | None = None) ->
 
 
 def sampled(cell_rows: DataFrame, n: int = SAMPLE) -> DataFrame:
-    """The first n populated cells of each column. Tasks keep at most n a column before the shuffle (ranking limit)."""
+    """The first n populated cells of each column. Tasks keep at most n a column before the shuffle.
+
+    Spark limits ranks before a shuffle only up to a threshold, which is raised to n where it is lower; it changes no
+    result.
+    """
+    conf, key = cell_rows.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if int(conf.get(key)) < n:
+        conf.set(key, str(n))
     first = Window.partitionBy("pos").orderBy("seq")
     filled = cell_rows.withColumn("val", blank_to_null(F.col("val"))).where("val is not null")
     return filled.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= n).drop("rank")

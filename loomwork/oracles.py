@@ -128,6 +128,7 @@ O["dsl_logic"] = f"""SELECT p_partkey, {_t("p_type = 'ECONOMY'")} AS same, {_t('
 
 O["filter_cmp"] = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 250000"
 O["filter_range"] = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20"
+O["filter_text_numbers"] = "SELECT l_orderkey, l_linenumber, printf('%.2f', l_quantity) AS quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20"
 O["filter_date"] = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1996-01-01' AND '1996-12-31'"
 O["filter_exact"] = "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) = 'building'"
 O["filter_any_member"] = "SELECT c_custkey FROM customer WHERE c_custkey % 2 = 1"

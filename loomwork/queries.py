@@ -219,11 +219,19 @@ def _filtered(df, c, value, kind, keys):
 
 
 def filter_cmp(spark, d):
-    return _filtered(table(spark, d, "orders"), "o_totalprice", ">= 250000", "num", ["o_orderkey", "o_totalprice"])
+    df = table(spark, d, "orders").where(filters.scanned(F.col("o_totalprice"), ">= 250000", "num"))
+    return df.select("o_orderkey", "o_totalprice")
 
 
 def filter_range(spark, d):
-    return _filtered(table(spark, d, "lineitem"), "l_quantity", "20-10", "num", ["l_orderkey", "l_linenumber", "l_quantity"])
+    df = table(spark, d, "lineitem").where(filters.scanned(F.col("l_quantity"), "20-10", "num"))
+    return df.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def filter_text_numbers(spark, d):
+    """The same range over numbers that are text."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", _money("l_quantity").alias("quantity"))
+    return _filtered(df, "quantity", "20-10", "num", ["l_orderkey", "l_linenumber", "quantity"])
 
 
 def filter_date(spark, d):
@@ -581,7 +589,7 @@ QUERIES = {
     for f in (
         flagship, profile_columns, classify_columns, fill_rate, quality_counts, voted_types, type_fit, canonical_names, merge_groups, registry,
         clean_numeric, clean_bool, clean_date, cooccupancy, consolidate_scalar, consolidate_positional, consolidate_tagged, split_multi,
-        dsl_strings, dsl_numbers, dsl_logic, filter_cmp, filter_range, filter_date, filter_exact, filter_any_member, keyword_all_terms,
+        dsl_strings, dsl_numbers, dsl_logic, filter_cmp, filter_range, filter_text_numbers, filter_date, filter_exact, filter_any_member, keyword_all_terms,
         keyword_tf, geo_parse_bbox, geo_polygon, geo_points, dsl_render, norm_key, entity_merge, entity_conflicts, entity_counters,
         entity_sources, tagged_merge, exact_dup_docs, enrich_left, enrich_fill_only, enrich_chain, join_key_candidates, fuzzy_match,
         match_report, link_clusters, facet_counts, facet_low_card, facet_most_common, doc_tags, top_tags, tag_filter, segment_counts,

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork.functions import filters
 from loomwork.operators import canon, enrich, entities, extract, facets, match, partitions, profile, shapes, tags, vectors
 from loomwork.sources import files, sinks
 
@@ -294,3 +295,16 @@ def test_tables_as_indexes(spark):
     sinks.write_index(spark.range(1), "kt_test_two")
     assert sinks.orphans(spark, ["col_test_one"]) == ["kt_test_two"]
     assert sinks.delete_orphans(spark, []) == ["col_test_one", "kt_test_two"] and sinks.list_indexes(spark, "*test*") == []
+
+
+def test_plans_of_hot_spots(spark, tmp_path):
+    """Profiles rank before the shuffle, page and top-k queries keep k rows a task, filters reach the scan."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = table(spark, ["v"], [("1",)])
+    assert "WindowGroupLimit" in plan(profile.measures(profile.cells(df, [files.ROW])))
+    assert "TakeOrderedAndProject" in plan(facets.page(spark.range(100).repartition(3), ["id"], 2, 5))
+    spark.range(10).selectExpr("id", "id * 1.5D AS x", "id AS y").write.mode("overwrite").parquet(str(tmp_path / "t"))
+    scan = plan(spark.read.parquet(str(tmp_path / "t")).where(filters.scanned(F.col("x"), "3-9", "num")).select("id"))
+    assert "GreaterThanOrEqual(x,3.0)" in scan and "ReadSchema: struct<id:bigint,x:double>" in scan
+    v = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "i int, v array<float>")
+    assert "TakeOrderedAndProject" in plan(vectors.top_k(v, F.col("v"), [1.0], "i", 2))
