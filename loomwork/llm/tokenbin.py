@@ -153,23 +153,23 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int,
         good = good[np.lexsort((good, -counts[good]))[:most]]
     chosen = np.sort(ordered[edges[good]])
     # a table of slots; of pairs that share a slot the last one is taken this round
-    slot_of = lambda p: ((p * wide(_ODD)) >> wide(8 * wide().itemsize - _SLOTS)).astype(np.int64)
+    slot_of = lambda p: ((p * wide(_ODD)) >> wide(8 * wide().itemsize - _SLOTS)).astype(np.intp)
     slots = np.full(1 << _SLOTS, -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
     slots[slot_of(chosen)] = np.arange(len(chosen))
     rule = slots[slot_of(pairs)]
     at = np.flatnonzero((rule >= 0) & inside)
     rule = rule[at]
     hit = chosen[rule] == pairs[at]
-    at, rule = at[hit], rule[hit].astype(np.int64)
+    at, rule = at[hit], rule[hit]
     left = (chosen >> shift).astype(np.int64)
     right = (chosen & ((wide(1) << shift) - wide(1))).astype(np.int64)
     # of neighbouring hits every other one, from the left
-    start = np.concatenate(([True], np.diff(at) > 1))
-    run = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-    take = (np.arange(len(at)) - run) % 2 == 0
+    start = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1))).astype(np.int32)
+    run = np.repeat(start, np.diff(np.append(start, len(at))))
+    take = (np.arange(len(at), dtype=np.int32) - run) & 1 == 0
     at, rule = at[take], rule[take]
     out, keep = seq.copy(), np.ones(len(seq), bool)
-    out[at] = first_new + rule
+    out[at] = first_new + rule.astype(np.int64)
     keep[at + 1] = False
     ends = last.copy()
     ends[at] = last[at + 1]
