@@ -9,7 +9,6 @@ With 12 bands of 4 values a pair at similarity 0.8 becomes a candidate with prob
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, discard, stage
+from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, discard, restored, shielded, stage
 from loomwork.llm.components import connected_components, spanning_forest
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
@@ -27,10 +26,11 @@ SHORT_RUN = 12
 #: Lines of a large band in one task; more are paired off block by block.
 BLOCK = 1 << 15
 #: Line hashes whose bands a task has already given, remembered up to this many.
-SEEN = 500_000
+SEEN = 200_000
+#: Most bits of the filter of lines that are candidates.
+FILTER_BITS = 1 << 27
 #: Shingles handled at once, to stay in cache.
 CHUNK = 1 << 16
-_SPACE = re.compile(r"\s+")
 #: A null doc_id counts as one before all others.
 NO_ID = -(1 << 63)
 _rng = np.random.default_rng(20240607)
@@ -40,14 +40,26 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(line: str) -> str:
-    return _SPACE.sub(" ", line.lower()).strip()
+    return " ".join(line.lower().split())
 
 
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similarity(a: set[str], b: set[str]) -> float:
+def packed(line: str) -> np.ndarray | None:
+    """The shingles of a line whose characters are one byte each in Latin-1, as the 64-bit number of their eight bytes.
+
+    Exact, and repeats are kept; None for other lines and for lines shorter than a shingle.
+    """
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, 0, (1,)) if len(raw) >= SHINGLE else None
+
+
+def similarity(a: set, b: set) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
 
@@ -133,11 +145,29 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
     return stage(rows.mapInArrow(run, "doc long, line int, h long, bands array<long>"), "lines", TEXT_ROWS)
 
 
-def texts_of(docs: DataFrame, text: str) -> DataFrame:
-    """(h, line) of every line with a word; each task gives a line once as far as it remembers."""
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of one hash over a column h, as bytes: 16 bits a row, 16 MB at most whatever the number of rows.
+
+    Built by Spark's bitmap aggregates; at most 4096 rows of 4 kB come to the driver. A filter too small for its rows
+    lets more lines through to the join that decides.
+    """
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * hashes.count()).bit_length()))
+    at = F.pmod("h", F.lit(bits)) + 1
+    rows = hashes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
+        out[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
+    return out.reshape(-1)
+
+
+def texts_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
+    """(h, line) of the lines whose hash the bitmap has; each task gives a line once as far as it remembers."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # of a fixed size
+    bits = len(wanted) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        known = shared.value.tobytes()
         for b in batches:
             hashes, lines = [], []
             for t in b.column(0).to_pylist():
@@ -145,7 +175,8 @@ def texts_of(docs: DataFrame, text: str) -> DataFrame:
                     line = normal(line)
                     if line:
                         h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
-                        if h not in seen:
+                        at = h % bits
+                        if known[at >> 3] >> (at & 7) & 1 and h not in seen:
                             seen.add(h)
                             hashes.append(h)
                             lines.append(line)
@@ -207,28 +238,53 @@ class _Lines:
     """Shingle sets of lines as numbered shingles, to compare one line with many at once."""
 
     def __init__(self, texts: list[str]):
-        number: dict[str, int] = {}
-        sets = [np.fromiter({number.setdefault(s, len(number)) for s in shingles(t)}, np.int64) for t in texts]
-        self.sets, self.sizes = sets, np.array([len(s) for s in sets])
-        self.mark = np.zeros(len(number), bool)
+        arrays = [packed(t) for t in texts]
+        if any(x is None for x in arrays):
+            number: dict[str, int] = {}
+            self.sets = [np.fromiter({number.setdefault(s, len(number)) for s in shingles(t)}, np.int64) for t in texts]
+            total = len(number)
+        else:
+            arrays = [np.unique(x) for x in arrays]
+            known, place = np.unique(np.concatenate(arrays), return_inverse=True)
+            self.sets = np.split(place, np.cumsum([len(x) for x in arrays])[:-1])
+            total = len(known)
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.mark = np.zeros(total, bool)
+        flat, starts = self.flat(np.arange(len(texts)))
+        seen = np.bincount(flat)[flat]
+        #: How many of a line's shingles others have too, and how widely its shingles are shared.
+        self.common = np.add.reduceat((seen > 1).astype(np.int64), starts)
+        self.centrality = np.add.reduceat(seen, starts) / self.sizes
 
     def flat(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[which]
         return np.concatenate([self.sets[k] for k in which]), np.cumsum(sizes) - sizes
 
+    def by_centre(self) -> np.ndarray:
+        """The lines, those first whose shingles most others have: such a line is similar to most of its group."""
+        return np.argsort(-self.centrality, kind="stable")
+
     def near(self, k: int, which: np.ndarray, flat: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which lines are similar to line k. No two lines have more in common than either shares with any."""
+        total = self.sizes[which] + self.sizes[k]
+        most = np.minimum(self.common[which], self.common[k])
+        if not (most >= SIMILARITY * (total - most) - 1e-9).any():
+            return np.zeros(len(which), bool)
         self.mark[self.sets[k]] = True
-        both = np.add.reduceat(self.mark[flat[0]].astype(np.int64), flat[1])
+        both = np.add.reduceat(self.mark[flat[0]].astype(np.int32), flat[1])
         self.mark[self.sets[k]] = False
-        return both >= SIMILARITY * (self.sizes[which] + self.sizes[k] - both) - 1e-9
+        return both >= SIMILARITY * (total - both) - 1e-9
 
 
 def search(texts: list[str], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what is connected, without listing all pairs: from each line reached, only lines not yet reached
-    are compared. With sides only lines of different sides are."""
+    are compared, central lines first. With sides only lines of different sides are."""
+    if not texts:
+        return []
     lines = _Lines(texts)
     out = []
-    groups = [np.arange(len(texts))] if side is None else [np.flatnonzero(side == 0), np.flatnonzero(side == 1)]
+    order = lines.by_centre()
+    groups = [order] if side is None else [order[side[order] == 0], order[side[order] == 1]]
     other = (lambda s: 0) if side is None else (lambda s: 1 - s)
     flats = [lines.flat(g) if len(g) else None for g in groups]
     while len(groups[0]) and len(groups[-1]):
@@ -246,18 +302,32 @@ def search(texts: list[str], side: np.ndarray | None = None) -> list[tuple[int,
                 groups[o] = groups[o][~near]
                 flats[o] = lines.flat(groups[o]) if len(groups[o]) else None
                 out += [(k, int(x)) for x in found]
-                queue += [(o, int(x)) for x in found]
+                queue += [(o, int(x)) for x in found[::-1]]
     return out
 
 
-def _search_group(pdf):
-    """One block of a large band, or a pair of its blocks."""
-    import pandas as pd
+def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (key, i, j, block, h, text) in order of (key, i, j): a block of a large band, or a pair of its blocks."""
+    group: tuple | None = None
+    held: tuple[list, list, list] = ([], [], [])
+
+    def found() -> pa.RecordBatch:
+        block, h, texts = held
+        side = None if group[1] == group[2] else (np.array(block) == group[2]).astype(int)
+        pairs = search(texts, side)
+        return pa.RecordBatch.from_arrays([pa.array([h[x] for x, _ in pairs], pa.int64()), pa.array([h[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
-    h = pdf["h"].to_numpy()
-    side = None if (pdf["i"] == pdf["j"]).all() else (pdf["block"] == pdf["j"]).to_numpy().astype(int)
-    found = [(h[a], h[b]) for a, b in search(pdf["text"].tolist(), side)]
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    for b in batches:
+        for key, i, j, block, h, text in zip(*(b.column(k).to_pylist() for k in range(6))):
+            if (key, i, j) != group:
+                if group is not None:
+                    yield found()
+                group, held = (key, i, j), ([], [], [])
+            held[0].append(block)
+            held[1].append(h)
+            held[2].append(text)
+    if group is not None:
+        yield found()
 
 
 def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> DataFrame:
@@ -267,7 +337,8 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
     pairs = found.where("b is not null").select("a", "b").distinct()
     large = found.where("b is null").select("key", F.col("a").alias("h"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(large.select("h")).distinct()
-    with_text = stage(texts_of(docs, text).join(wanted, "h", "left_semi"), "texts", TEXT_ROWS)
+    wanted = stage(wanted, "wanted")
+    with_text = stage(texts_of(docs, text, bitmap(wanted)).join(wanted, "h", "left_semi"), "texts", TEXT_ROWS)
     own = stage(with_text.groupBy("h").agg(F.min("text").alias("text")), "texts")
     discard(with_text)
 
@@ -275,12 +346,24 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
         for b in batches:
             a, z = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = zip(a, z, b.column(2).to_pylist(), b.column(3).to_pylist())
-            good = [(x, y) for x, y, s, t in rows if similarity(shingles(s), shingles(t)) >= SIMILARITY]
+            good, last, plain, sets = [], None, None, (set(), None)
+            for x, y, s, t in rows:  # rows of one line follow each other
+                if t != last:
+                    last, plain = t, packed(t)
+                    sets = (shingles(t), None) if plain is None else (None, set(plain.tolist()))
+                own = None if plain is None else packed(s)
+                if own is not None:
+                    near = similarity(set(own.tolist()), sets[1])
+                else:
+                    sets = (sets[0] or shingles(t), sets[1])
+                    near = similarity(shingles(s), sets[0])
+                if near >= SIMILARITY:
+                    good.append((x, y))
             good = spanning_forest(good)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
     left = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("s")), "a")
-    both = left.join(own.select(F.col("h").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    both = left.join(own.select(F.col("h").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t").sortWithinPartitions("b")
     verified = stage(both.mapInArrow(verify, "a long, b long"), "similar", 2000)
 
     from pyspark.sql import Window
@@ -296,8 +379,10 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
         spread = numbered.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         spread = spread.select("key", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         dealt = spread.join(own, "h")
-    searched = dealt.groupBy("key", "i", "j").applyInPandas(_search_group, "a long, b long")
-    return verified.unionByName(stage(searched, "searched"))
+    order = ["key", "i", "j"]
+    ready = dealt.select(*order, "block", "h", "text").repartition(*order).sortWithinPartitions(*order)
+    searched = ready.mapInArrow(_search_groups, "a long, b long")
+    return verified.unionByName(stage(searched, "searched", 500))
 
 
 def line_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -329,7 +414,8 @@ def deduplicated(docs: DataFrame, text: str = "text", block: int = BLOCK) -> Dat
     """docs with each text reduced to the lines that stay; lines without a word stay. All rows and columns remain."""
     gone = line_components(docs, text, block).where("not kept")
     lists = gone.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    own = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(lists, "_doc", "left")
+    own = shielded(docs, list(dict.fromkeys(["doc_id", text])))
+    own = own.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(lists, "_doc", "left")
     lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i))
     kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    return own.withColumn(text, kept).select(docs.columns)
+    return restored(own.withColumn(f"_own_{docs.columns.index(text)}", kept), docs.columns)
