@@ -131,14 +131,23 @@ def linked(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = keys.join(roots, keys["first"] == roots["node"], "left").select("k", F.coalesce("root", "first").alias("root"))
     own = rows.join(named, "k")
     sizes = own.groupBy("root").agg(F.count("*").alias("size"), F.count_distinct("source").alias("n_sources"))
-    numbered = sizes.withColumn("n", _numbered(sizes, "root"))
-    ids = numbered.select("root", "size", "n_sources", F.format_string("E-%04d", "n").alias("entity_id"))
+    ids = numbered(sizes, "root").select("root", "size", "n_sources", F.format_string("E-%04d", "n").alias("entity_id"))
     return own.join(ids, "root").select("seq", "source", "k", "entity_id", "size", "n_sources")
 
 
-def _numbered(df: DataFrame, by: str) -> Column:
-    """Rank over the whole table. It brings one narrow row an entity to one task; used for readable ids only."""
-    return F.row_number().over(Window.orderBy(by))
+def numbered(df: DataFrame, by: str, out: str = "n") -> DataFrame:
+    """df with ranks from 1 in the order of a unique column, without bringing the rows to one task.
+
+    Rows are dealt by ranges; the counts of the partitions before, one number a partition, come from the driver.
+    """
+    ranged = df.repartitionByRange(by).withColumn("_part", F.spark_partition_id()).checkpoint()
+    before, bases = 0, []
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():
+        bases.append((r["_part"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(bases, "_part int, _base long")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    return ranged.withColumn("_in", inside).join(F.broadcast(starts), "_part").withColumn(out, F.col("_base") + F.col("_in")).drop("_part", "_base", "_in")
 
 
 def clusters(rows: DataFrame, top: int = 40) -> DataFrame:
