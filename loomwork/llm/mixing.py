@@ -3,11 +3,15 @@
 Tokens are summed for each cell (source, language, topic). A factor for each level of each dimension is raked until
 the weighted token shares have the target marginals; a cell's weight is the product of its three factors. Documents
 are kept with probability weight / largest weight, so the expected token shares are exactly the raked ones.
+
+Where that would keep less than LEAST_KEPT of the tokens (a rare level has a large weight and would decide how much of
+all else goes), probabilities are raked with the bound 1 instead, towards that kept share: levels too small for their
+target are kept whole, and the others take up what is left in the proportions of their targets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import discard, restored, shielded, stage
@@ -16,6 +20,8 @@ DIMENSIONS = ("source", "language", "topic")
 #: Target share of a level: its share of tokens to this power, normalised (1 keeps the shares, 0 makes levels equal).
 POWERS = {"source": 0.7, "language": 0.8, "topic": 0.9}
 SWEEPS, TOLERANCE = 40, 1e-11
+#: The least expected share of all tokens that is kept.
+LEAST_KEPT = 0.4
 SEED = "mix"
 NONE = "(none)"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -91,8 +97,59 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     return out.select(*DIMENSIONS, "tokens", (F.col("s") * F.col("l") * F.col("t")).alias("weight"))
 
 
+def goals(cells: DataFrame, targets: DataFrame, dimension: str, kept: float) -> DataFrame:
+    """(level, goal): tokens to keep of each level, ``kept`` in all: shares of the targets, but no more than a level has."""
+    own = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("n")).join(targets, dimension)
+    own = stage(own.select(dimension, "n", F.coalesce(F.col("target").cast("double"), F.lit(0.0)).alias("target")), "levels")
+    scale = 0.0
+    while True:  # levels only ever become full, so this ends
+        full = F.col("target") * F.lit(scale) >= F.col("n")
+        r = own.agg(F.sum(F.when(full, F.col("n"))).alias("n"), F.sum(F.when(~full, F.col("target"))).alias("target")).first()
+        if not r["target"]:
+            break
+        new = (kept - (r["n"] or 0.0)) / r["target"]
+        if new <= scale * (1 + 1e-12):
+            break
+        scale = new
+    return own.select(dimension, F.least(F.col("target") * F.lit(scale), F.col("n")).alias("goal"))
+
+
+def bounded(cells: DataFrame, targets: dict[str, DataFrame], kept: float, sweeps: int = SWEEPS, tolerance: float = 1e-9) -> DataFrame:
+    """cells (with ``start``) and ``probability``: least(1, start times three factors), raked to the goals for ``kept`` tokens.
+
+    A step finds each level's factor exactly: tokens kept are a concave function of it, the lowest of the lines on which
+    the k cells with the largest products are full, so the factor is the largest root of these lines.
+    """
+    factors = {d: stage(goals(cells, targets[d], d, kept).withColumn(d[0], F.lit(1.0)), f"b-{d}") for d in DIMENSIONS}
+    for _ in range(sweeps):
+        for d in DIMENSIONS:
+            a, b = (x for x in DIMENSIONS if x != d)
+            own = cells.join(factors[a].select(a, a[0]), a).join(factors[b].select(b, b[0]), b)
+            own = own.withColumn("o", F.col("start") * F.col(a[0]) * F.col(b[0])).join(factors[d].select(d, "goal"), d)
+            down = Window.partitionBy(d).orderBy(F.desc("o"), F.asc(a), F.asc(b)).rowsBetween(Window.unboundedPreceding, -1)
+            up = Window.partitionBy(d).orderBy(F.asc("o"), F.desc(a), F.desc(b)).rowsBetween(Window.unboundedPreceding, 0)
+            full = F.coalesce(F.sum("tokens").over(down), F.lit(0))
+            root = F.try_divide(F.col("goal") - full, F.sum(F.col("tokens") * F.col("o")).over(up))
+            found = own.select(d, root.alias("root")).groupBy(d).agg(F.max("root").alias("root"))
+            old = factors[d]
+            new = old.select(d, "goal", F.col(d[0]).alias("before")).join(found, d, "left")
+            factors[d] = stage(new.select(d, "goal", F.greatest(F.coalesce("root", F.lit(0.0)), F.lit(0.0)).alias(d[0]), "before"), f"b-{d}")
+            discard(old)
+        moved = [factors[d].agg(F.max(F.abs(F.try_divide(d[0], "before") - 1))).first()[0] for d in DIMENSIONS]
+        if all(x is None or x < tolerance for x in moved):
+            break
+    out = cells
+    for d in DIMENSIONS:
+        out = out.join(factors[d].select(d, d[0]), d)
+    p = F.least(F.lit(1.0), F.col("start") * F.col("s") * F.col("l") * F.col("t"))
+    return out.select(*DIMENSIONS, "tokens", "weight", p.alias("probability"))
+
+
 def calibrated(keyed_docs: DataFrame, powers: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """For each cell: weight (raked share over own share) and probability (weight over the largest), from whole docs."""
+    """For each cell: weight (raked share over own share) and probability, from whole docs.
+
+    The probability is weight over the largest, or the bounded one where that would keep less than LEAST_KEPT.
+    """
     cells = stage(
         keyed_docs.groupBy(F.col("_source").alias("source"), F.col("_language").alias("language"), F.col("_topic").alias("topic")).agg(
             F.sum("_tokens").alias("tokens")
@@ -102,11 +159,19 @@ def calibrated(keyed_docs: DataFrame, powers: dict[str, float] | None = None, ta
     powers = powers or POWERS
     targets = targets or {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}
     raked = stage(rake(cells, targets), "raked")
-    top = raked.agg(F.max("weight").alias("top"), F.sum(F.col("tokens").cast("double")).alias("all"))
-    return raked.crossJoin(F.broadcast(top)).select(  # one row
+    tokens = F.col("tokens").cast("double")
+    top = raked.agg(F.max("weight").alias("top"), F.sum(tokens).alias("all"), F.sum(tokens * F.col("weight")).alias("mass"))
+    found = top.first()
+    if found["top"] and found["mass"] < LEAST_KEPT * found["top"] * found["all"]:
+        kept = LEAST_KEPT * found["all"]
+        own = stage(raked.withColumn("start", F.col("weight") * F.lit(kept / found["mass"])), "start")
+        raked = stage(bounded(own, targets, kept), "bounded")
+    else:
+        raked = raked.crossJoin(F.broadcast(top.select("top"))).withColumn("probability", F.col("weight") / F.col("top"))  # one row
+    return raked.crossJoin(F.broadcast(top.select("all"))).select(  # one row
         *DIMENSIONS,
         F.round(F.col("weight") * F.col("all"), 6).alias("weight"),
-        F.round(F.col("weight") / F.col("top"), 9).alias("probability"),
+        F.round(F.col("probability"), 9).alias("probability"),
     )
 
 

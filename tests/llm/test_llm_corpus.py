@@ -291,6 +291,24 @@ def test_mixture_takes_given_targets_and_runs_no_python(spark):
     assert mixing.mixture(d.limit(0)).count() == 0
 
 
+def test_one_rare_document_does_not_decide_what_is_kept(spark):
+    d = mixing_case(spark)
+    rare = spark.createDataFrame([(9000, "w " * 50, "rare", "en")], "doc_id long, text string, source string, lang string")
+    out = mixing.mixture(d.unionByName(rare)).toPandas().set_index("doc_id")
+    assert len(out) == 3041 and out.probability.between(0, 1).all() and out.probability[9000] == 1
+    kept = out.tokens * out.probability
+    assert abs(kept.sum() / out.tokens.sum() - mixing.LEAST_KEPT) < 1e-4
+    assert abs((out.tokens * out.sampled).sum() / kept.sum() - 1) < 0.1
+    # levels that can have their share have it; those that are too small are whole, and the others keep their proportions
+    for c, power in mixing.POWERS.items():
+        n = out.groupby(c).tokens.sum()
+        got, target = kept.groupby(out[c]).sum(), n**power
+        free = got < n * (1 - 1e-6)
+        ratio = (got / target)[free]
+        assert free.any() and ratio.max() / ratio.min() < 1.01
+        assert ((got / target)[~free] <= ratio.max() * 1.01).all()
+
+
 # ---- tokens
 
 
