@@ -146,6 +146,20 @@ def test_language_held_out_accuracy_and_rejections(spark):
     assert kept.columns == d.columns and {x.doc_id for x in kept.collect()} == {i for i, x in out.items() if not x.rejected}
 
 
+def test_language_of_long_texts_is_told_as_clearly(spark):
+    rows = language_docs()
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    classifier = langid.Classifier(langid.train(d))
+    r = random.Random(5)
+    for lang, parts in (("en", "the ing ly and tion er".split()), ("de", "der ung und sch keit ü".split())):
+        words = ["".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(600_000)]
+        long = " ".join(words)
+        assert len(long) > 3_000_000
+        told, margin = classifier.predict(long)
+        short = classifier.predict(long[: langid.BLOCK // 2])[1]
+        assert told == lang and margin >= langid.MARGIN and margin > 0.5 * short
+
+
 def test_language_learns_nothing_from_held_out_or_other_columns(spark):
     rows = language_docs()
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
