@@ -100,15 +100,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _Parts(self.tokenizer)
 
     def ids(self, text: str, memo: int = MEMO) -> bytes:
         """Little-endian u32 ids.
 
         A space before a character that is no white space always starts a piece, and a line feed between two such
-        characters is a piece by itself; most texts part there. Others are parted as the pre-tokenizer does it.
+        characters is a piece by itself; most texts part there. Others are parted as the pre-tokenizer does it. A text
+        that has an added token's string is encoded whole: the library gives it that token's id.
         """
+        if any(x in text for x in self.added):
+            return self.known.encode(text)
         if len(self.known) > memo:
             self.known.clear()
         try:
