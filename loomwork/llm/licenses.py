@@ -143,19 +143,43 @@ def evaluate(expression: str) -> tuple[list[str], str]:
 
 
 def longest_expression(line: str) -> tuple[str, list[str], str] | None:
-    """The longest run of tokens at the start of the line that is an expression."""
-    tokens, at = [], 0
+    """The longest run of tokens at the start of the line that is an expression, found in one pass.
+
+    The pass ends at the first token that no expression can have there. A licence before ``with`` must be plain: an
+    identifier, in parentheses or not.
+    """
+    tokens: list[str] = []
+    groups: list[bool] = []  # for each open parenthesis, whether an operator stands in it
+    at = whole = 0
+    operand_next, plain, excepted = True, False, False
     while m := _TOKEN.match(line, at):
-        tokens.append(m[1] or m[2])
-        at = m.end()
-    tokens = tokens[:64]
-    for n in range(len(tokens), 0, -1):
-        text = " ".join(tokens[:n]).replace("( ", "(").replace(" )", ")")
-        try:
-            return text, *evaluate(text)
-        except BadExpression:
-            continue
-    return None
+        token, at = m[1] or m[2], m.end()
+        low = token.lower()
+        if (low in _BINDS or token == ")") == operand_next or (excepted and token == "("):
+            break
+        if low == "with":
+            if not plain:
+                break
+            operand_next = excepted = True
+        elif low in _BINDS:
+            if groups:
+                groups[-1] = True
+            operand_next = True
+        elif token == "(":
+            groups.append(False)
+        elif token == ")":
+            if not groups:
+                break
+            plain = not groups.pop() and plain
+        else:
+            plain, operand_next, excepted = not excepted, False, False
+        tokens.append(token)
+        if not operand_next and not groups:
+            whole = len(tokens)
+    if not whole:
+        return None
+    text = " ".join(tokens[:whole]).replace("( ", "(").replace(" )", ")")
+    return text, *evaluate(text)
 
 
 def _phrases() -> dict[tuple[bytes, ...], tuple]:

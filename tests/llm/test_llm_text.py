@@ -99,6 +99,33 @@ def test_licence_expressions():
             licenses.evaluate(bad)
 
 
+def brute_longest(line):
+    """By trying every prefix."""
+    tokens, at = [], 0
+    while m := licenses._TOKEN.match(line, at):
+        tokens.append(m[1] or m[2])
+        at = m.end()
+    for n in range(len(tokens), 0, -1):
+        text = " ".join(tokens[:n]).replace("( ", "(").replace(" )", ")")
+        try:
+            return text, *licenses.evaluate(text)
+        except licenses.BadExpression:
+            continue
+    return None
+
+
+def test_licence_expressions_of_any_length():
+    r = random.Random(7)
+    for _ in range(3000):
+        line = " ".join(r.choice("MIT GPL-2.0-only AND OR WITH ( ) ( ) MIT Isc".split()) for _ in range(r.randint(0, 14))) + r.choice(["", " */"])
+        assert licenses.longest_expression(line) == brute_longest(line)
+    names = [f"Licence-{i}" for i in range(3000)]
+    text, found, _ = licenses.longest_expression(" OR ".join(names) + " */")
+    assert text == " OR ".join(names) and found == sorted(x.lower() for x in names)
+    text, found, terms = licenses.longest_expression("(" + " AND ".join(["MIT"] * 60) + " AND GPL-3.0-only) more words")
+    assert text.endswith("GPL-3.0-only)") and found == ["gpl-3.0-only", "mit"] and terms == "copyleft"
+
+
 def test_licence_scan_against_brute_force(spark):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     texts = [
