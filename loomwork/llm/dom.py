@@ -19,6 +19,8 @@ BLOCKS = frozenset(
     "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
+#: Elements that may stand in a head; any other opening tag, and text, ends a head without an end tag.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 #: What an opening tag closes, and the elements beyond which it closes nothing.
 _ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _FENCE = frozenset("ul ol dl table div article section body html main aside nav td th form".split())
@@ -58,6 +60,8 @@ def parse(page: str) -> list[Node]:
 
     def say(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not nodes[here()].hidden:
             text = html.unescape(text)
             pieces.append(text)
@@ -99,6 +103,8 @@ def parse(page: str) -> list[Node]:
                 continue
             close_tag(tag, frozenset() if tag in BLOCKS or tag in HIDDEN else BLOCKS)
             continue
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             if not nodes[here()].hidden:
                 pieces.append(" ")

@@ -41,6 +41,19 @@ def test_tree_of_broken_markup():
         dom.parse(odd)
 
 
+def test_head_without_an_end_tag(model):
+    assert htmlmain.main_text(PAGE.replace("</head>", ""), model) == TEXT
+    said = lambda page: [t for _, t in sorted((at, t) for n in dom.parse(page) for at, t, _ in n.texts)]
+    for page in (
+        "<html><head><title>T</title><body><article>a</article>",
+        "<html><head><title>T</title><meta name=x><noscript><img src=y>no</noscript><p>a",
+        "<html><head><script>x</script>\n a",
+        "<head><title>T</title><span>a</span></head>",
+    ):
+        assert said(page) == ["a"]
+    assert said("<head><title>T</title>\n<style>b</style></head><body>a") == ["a"]
+
+
 def test_marginals_are_exact(model):
     """Sum-product against the sum over all labelings of small trees."""
     r = random.Random(3)
