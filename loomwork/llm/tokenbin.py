@@ -14,6 +14,7 @@ shard keeps each rule's expansion length. File, little-endian:
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from array import array
@@ -31,8 +32,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 #: A shard is closed at so many ids (a longer document is whole in a shard of its own).
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, pairs replaced in one round, and the least count of a replaced pair.
-ROUNDS, PAIRS_A_ROUND, LEAST = 3, 5000, 12
+#: Pairs replaced in one round, and the least count of a replaced pair.
+PAIRS_A_ROUND, LEAST = 5000, 12
 #: Distinct parts of texts whose ids a worker remembers from task to task (some 110 MB).
 MEMO = 600_000
 
@@ -179,12 +180,15 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int,
     return out[keep], ends[keep], np.stack([left, right], 1)
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, first_new: int, rounds=ROUNDS, most=PAIRS_A_ROUND, least=LEAST):
-    """(symbols, symbols of each document, rules) of the ids of documents with the given lengths (none is 0)."""
+def compress(ids: np.ndarray, lengths: np.ndarray, first_new: int, rounds=None, most=PAIRS_A_ROUND, least=LEAST):
+    """(symbols, symbols of each document, rules) of the ids of documents with the given lengths (none is 0).
+
+    Rounds go on (to ``rounds``, if given) until no pair has the least count, or symbols of two bytes are used up.
+    """
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         room = min(most, (1 << 16) - first_new - len(rules)) if first_new < 1 << 16 else most
         seq, last, new = replace_pairs(seq, last, first_new + len(rules), room, least)
         if not len(new):

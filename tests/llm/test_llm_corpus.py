@@ -347,6 +347,16 @@ def test_grammar_round_trip(docs):
         assert tokenbin.expand(part, pool, np.cumsum(sizes) - sizes, sizes, 10).tolist() == doc
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    r = random.Random(3)
+    doc = [r.randrange(9) for _ in range(700)]
+    docs = [doc] * 200
+    data = tokenbin.pack(list(range(200)), np.array([700] * 200), np.array(doc * 200), 10)
+    shard = tokenbin.Shard(pa.BufferReader(data))
+    assert shard.n_symbols == 200 and shard.lengths.max() == 700  # each copy is one symbol
+    assert all(shard.ids(k).tolist() == docs[k] for k in (0, 99, 199)) and shard.ids_at(7, 20, 333).tolist() == doc[20:333]
+
+
 def test_grammar_compresses_and_decodes_anywhere():
     r = random.Random(1)
     docs = [[r.choice([5, 6]) if r.random() < 0.1 else v for v in [1, 2, 3, 4] * r.randint(1, 60)] for _ in range(40)]
