@@ -74,9 +74,9 @@ def hashed(keys: np.ndarray, order: int, what: int, lang: str) -> np.ndarray:
 
 
 def language(lang: str = "lang") -> Column:
-    """Codes of two or three letters, lower-cased; all else is ``und``."""
-    low = F.lower(F.col(lang).cast("string"))
-    return F.when(low.rlike("^[a-z]{2,3}$"), low).otherwise(F.lit("und"))
+    """The primary subtag of a language tag (en of en-US or en_US), two or three letters, lower-cased; all else is ``und``."""
+    code = F.regexp_extract(F.lower(F.col(lang).cast("string")), "^([a-z]{2,3})(?:[-_][a-z0-9]{1,8})*$", 1)
+    return F.when(code != "", code).otherwise(F.lit("und"))
 
 
 def count_grams(docs: DataFrame) -> DataFrame:

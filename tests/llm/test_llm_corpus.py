@@ -161,6 +161,12 @@ def test_model_is_kneser_ney(spark):
     assert abs(-model.mean_log_p(texts[0], "en") - want) < 5e-3
 
 
+def test_language_is_the_primary_subtag(spark):
+    want = {"en": "en", "EN": "en", "en-US": "en", "zh-Hant": "zh", "pt_BR": "pt", "sr-Latn-RS": "sr", "deu": "deu", None: "und", "": "und", "x-own": "und", "english": "und", "en-": "und"}
+    d = spark.createDataFrame([(x,) for x in want], "lang string")
+    assert {x.lang: x.code for x in d.withColumn("code", quality.language()).collect()} == want
+
+
 def test_quality_verdicts(spark):
     r = random.Random(8)
     line = lambda n: " ".join("".join(r.choice(["ta", "ko", "mi", "sen", "ul"]) for _ in range(r.randint(1, 3))) for _ in range(n))
