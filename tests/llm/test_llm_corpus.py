@@ -329,16 +329,6 @@ def test_ids_are_the_library_s(text):
     assert got == reference_ids(text)
 
 
-def test_ids_of_added_tokens_are_the_plain_library_s():
-    from tokenizers import Tokenizer
-
-    plain, encoder = Tokenizer.from_file(tokenbin.tokenizer_path()), tokenbin.Encoder(tokenbin.tokenizer_path())
-    for text in ("foo <|endoftext|> bar", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b  <|endoftext|", "<|endoftext|> \n", "no <|end|> here", "x  y\n\nz"):
-        want = plain.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
-        assert (50256 in want) == ("<|endoftext|>" in text)
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 6), min_size=1, max_size=80), min_size=1, max_size=12))
 def test_grammar_round_trip(docs):
