@@ -1,13 +1,22 @@
-"""A small HTML tree: block elements with their own text, in page order. Never fails, whatever the markup."""
+"""A small HTML tree: block elements with their own text, in page order.
+
+Any string gives a tree, in time linear in its length. A quoted attribute value may hold ``>``; a quote that is never
+closed is an ordinary character. A tag that the page breaks off is markup and shows no text.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:\-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:\-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:\-]*+)")
+#: What matters inside a tag: its end, or an attribute value that begins with a quote.
+_INSIDE = re.compile(r">|=\s*+([\"'])")
+_ATTRIBUTE = re.compile(r"(?<![\w:\-])([a-zA-Z][\w:\-]*+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+#: Numeric character references of more digits than any code point has (leading zeros aside): they stand for U+FFFD.
+_NUMBER = re.compile(r"&#(?:0*+([0-9]*+)|[xX]0*+([0-9a-fA-F]*+));?")
 _SPACE = re.compile(r"\s+")
 #: Elements without end tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,10 +47,58 @@ class Node:
     texts: list[tuple[int, str, int]] = field(default_factory=list)
 
 
+class _Scanner:
+    """Finds where tags end. What has been searched for in vain is not searched for again, so a page is read once."""
+
+    def __init__(self, page: str):
+        self.page, self.plain = page, False
+        self.missing: set[str] = set()  # quotes that the rest of the page lacks
+
+    def tag_end(self, at: int) -> int:
+        """Just behind the tag whose name ends at ``at``; -1 if the page ends first."""
+        page, start = self.page, at
+        while not self.plain and (m := _INSIDE.search(page, at)):
+            at, quote = m.end(), m[1]
+            if quote is None:
+                return at
+            if quote not in self.missing:
+                end = page.find(quote, at)
+                if end < 0:
+                    self.missing.add(quote)
+                else:
+                    at = end + 1
+        self.plain = True  # every > left stands in quotes: from here on quotes count for nothing
+        return page.find(">", start) + 1 or -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element whose inside begins at ``at``; the end of the page if there is none."""
+        page = self.page
+        while (at := page.find("</", at)) >= 0:
+            at += 2
+            if page[at : at + len(tag)].lower() == tag:
+                return page.find(">", at) + 1 or len(page)
+        return len(page)
+
+
+def _decoded(text: str) -> str:
+    """Character references decoded; those of no code point are U+FFFD, however many digits they have."""
+    if "&" not in text:
+        return text
+
+    def short(m: re.Match) -> str:
+        digits = m[1] if m[1] is not None else m[2]
+        return m[0] if len(m[0]) < 12 else "\ufffd" if len(digits) > 8 else m[0][: 2 if m[1] is not None else 3] + (digits or "0") + ";"
+
+    return html.unescape(_NUMBER.sub(short, text))
+
+
 def parse(page: str) -> list[Node]:
     """Block elements, parents before children; the first is the page itself. Character references are decoded."""
     nodes = [Node("#page", -1)]
     stack: list[tuple[str, int]] = []  # open elements and the node of each
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is open
+    blocks: list[int] = []  # where block elements and hidden ones are
+    scanner = _Scanner(page)
     pieces: list[str] = []
     linked = position = 0
     links = 0
@@ -63,45 +120,62 @@ def parse(page: str) -> list[Node]:
         if stack and stack[-1][0] == "head" and text.strip():
             close(len(stack) - 1)
         if text and not nodes[here()].hidden:
-            text = html.unescape(text)
+            text = _decoded(text)
             pieces.append(text)
             if links:
                 linked += len(text.strip())
 
+    def open_tag(tag: str, node: int) -> None:
+        nonlocal links
+        places[tag].append(len(stack))
+        if tag in BLOCKS or tag in HIDDEN:
+            blocks.append(len(stack))
+        stack.append((tag, node))
+        links += tag == "a"
+
     def close(n: int) -> None:
         nonlocal links
         while len(stack) > n:
             tag, _ = stack[-1]
             if tag in BLOCKS or tag in HIDDEN:
                 flush()
+                blocks.pop()
             links -= tag == "a"
+            places[tag].pop()
             stack.pop()
 
     def close_tag(tag: str, fence: frozenset = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                return close(k)
-            if stack[k][0] in fence:
-                return
+        """Closes the innermost such element, unless an element of the fence stands further in."""
+        if places[tag] and not any(places[f][-1] > places[tag][-1] for f in fence if places.get(f)):
+            close(places[tag][-1])
 
     at = 0
     while at < len(page):
         lt = page.find("<", at)
-        m = _TAG.match(page, lt) if lt >= 0 else None
-        if lt < 0 or m is None:
-            end = len(page) if lt < 0 else lt + 1
-            say(page[at:end])
-            at = end
+        if lt < 0:
+            say(page[at:])
+            break
+        m = _NAME.match(page, lt)
+        if m is None and page[lt + 1 : lt + 2] not in ("!", "?"):
+            say(page[at : lt + 1])
+            at = lt + 1
             continue
         say(page[at:lt])
-        at = m.end()
-        if not m[2]:
+        if m is None:
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + 2)
+            at = len(page) if end < 0 else end + (3 if comment else 1)
             continue
+        at = scanner.tag_end(m.end())
+        if at < 0:
+            break
+        inside = page[m.end() : at - 1]
         tag = m[2].lower()
         if m[1]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            close_tag(tag, frozenset() if tag in BLOCKS or tag in HIDDEN else BLOCKS)
+            if tag in BLOCKS or tag in HIDDEN:
+                close_tag(tag)
+            elif places[tag] and not (blocks and blocks[-1] > places[tag][-1]):
+                close(places[tag][-1])
             continue
         if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
             close(len(stack) - 1)
@@ -110,33 +184,23 @@ def parse(page: str) -> list[Node]:
                 pieces.append(" ")
             continue
         if tag in BLOCKS:
-            if any(t == "p" for t, _ in stack):
-                close_tag("p", _FENCE)
+            close_tag("p", _FENCE)
             for other in _ITEMS.get(tag, ()):
                 close_tag(other, _FENCE - {tag, other})
         if tag in BLOCKS or tag in HIDDEN:
             flush()
-            found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+            found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(inside)} if inside else {}
             names = " ".join(found.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop") if k in found)
             up = here()
             nodes.append(Node(tag, up, names, found.get("data-label"), nodes[up].hidden or tag in HIDDEN))
             own = len(nodes) - 1
         else:
             own = here()
-        if tag in VOID or (m[4] and tag not in BLOCKS):
+        if tag in VOID or (inside.endswith("/") and tag not in BLOCKS):
             continue
         if tag in RAW:
-            end = page.lower().find(f"</{tag}", at) if len(page) < 1 << 16 else _find_end(page, tag, at)
-            at = len(page) if end < 0 else end
-            gt = page.find(">", at)
-            at = len(page) if end < 0 or gt < 0 else gt + 1
+            at = scanner.raw_end(tag, at)
             continue
-        stack.append((tag, own))
-        links += tag == "a"
+        open_tag(tag, own)
     flush()
     return nodes
-
-
-def _find_end(page: str, tag: str, at: int) -> int:
-    m = re.compile(f"</{tag}", re.I).search(page, at)
-    return m.start() if m else -1

@@ -1,6 +1,8 @@
 import itertools
 import math
 import random
+import time
+from collections import Counter
 
 import pytest
 
@@ -94,3 +96,59 @@ def test_extract_edge_rows(spark):
     out = htmlmain.extract(d).collect()
     assert sorted((x.page_id, x.text, x.n_chars) for x in out) == [(1, TEXT, len(TEXT))] * 2 + [(2, "", 0), (3, "", 0), (4, "", 0)]
     assert htmlmain.extract(d.limit(0)).count() == 0
+
+
+def said(page):
+    return [t for _, t in sorted((at, t) for n in dom.parse(page) for at, t, _ in n.texts)]
+
+
+HOSTILE = [
+    "<p>x</p><div data-json='" + '{"k0":"v0",' * 90_000,
+    "<p>x</p><a " + "\"'" * 500_000,
+    "<p>x</p>" + '<a =">" ' * 120_000,
+    "<p>x</p>" + "<a b='" * 160_000,
+    "<p>x</p><div " + "a" * 1_000_000 + ">",
+    "<p>x</p>" + "<div>" * 200_000 + "<p>y",
+    "<p>x</p><u><div>" + "<i>" * 150_000 + "</u>" * 150_000,
+    "<p>x</p>" + "<p><table><tr><td><li>" * 40_000,
+    "<p>x</p>" + "<!--" * 250_000,
+    "<p>x</p>" + "<script></s" * 90_000,
+    "<p>x</p>" + "<" * 1_000_000,
+    "<p>x</p>&#" + "9" * 900_000 + ";&#x" + "f" * 100_000,
+]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE)))
+def test_hostile_pages_of_a_megabyte_are_read_once(model, k):
+    start = time.perf_counter()
+    assert said(HOSTILE[k])[0] == "x"
+    htmlmain.main_text(HOSTILE[k], model)
+    assert time.perf_counter() - start < 20  # one or two seconds at most when the machine is idle
+
+
+def test_a_page_says_the_same_at_any_length():
+    body = "<p>İİİ one.</p><script>if (a</b/.test('İ')) {}</SCRIPT ><p>Second.</p>"
+    for padding in ("", "<!--" + "x" * 100_000 + "-->", " " * 70_000):
+        assert said(body + padding) == said(padding + body) == ["İİİ one.", "Second."]
+
+
+def test_quotes_and_broken_off_tags():
+    assert said("<p title='a > b'>one</p><p title=\"c ' > d\">two") == ["one", "two"]
+    assert said("<p it's>one</p><p title='it>two</p>") == ["one", "two"]  # a quote that nothing closes
+    assert said("<p>one</p><div class=\"x") == ["one"] and said("a < b, c<d") == ["a < b, c"]
+    assert said("<p>&#0000000000065;&#x000000000042; &amp; &#99999999999;") == ["AB & �"]
+
+
+def test_text_of_held_out_pages(model):
+    """Whole texts of pages that the model hasn't seen: most come out to the letter, and few words are wrong."""
+    same = both = got_words = want_words = 0
+    for page in labelled_pages.pages(150, seed=123):
+        nodes, labels = dom.parse(page), []
+        for n in nodes:
+            labels.append(int(n.label) if n.label in ("0", "1") else labels[n.parent] if labels else 0)
+        want = "\n".join(t for _, t in sorted((at, t) for n, x in zip(nodes, labels) if x and not n.hidden for at, t, _ in n.texts))
+        got = htmlmain.main_text(page, model)
+        a, b = Counter(got.split()), Counter(want.split())
+        same, both = same + (got == want), both + (a & b).total()
+        got_words, want_words = got_words + a.total(), want_words + b.total()
+    assert both / got_words > 0.97 and both / want_words > 0.97 and same > 0.6 * 150
