@@ -15,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, hex64, restored, shielded, stage
+from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, hex64, restored, stage
 from loomwork.llm.components import connected_components, spanning_forest
 
 WORDS = 4
@@ -50,15 +51,18 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; a null or empty text has fingerprint 0. Extra columns are ignored."""
+def fingerprints(docs: DataFrame, text: str = "text", key: Column | None = None) -> DataFrame:
+    """(doc_id, fp, and key where one is given) of every row; a null or empty text has fingerprint 0. Extra columns are
+    ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [] if key is None else [key.alias("key")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", key long" if more else ""))
 
 
 def _masks() -> np.ndarray:
@@ -178,9 +182,11 @@ def _compare(block_rows: int):
             fps = np.concatenate((held_f, b.column(1).to_numpy(zero_copy_only=False)))
             if not len(keys):
                 continue
+            if held_over != keys[0]:  # that anchor ended with its last whole block
+                held_over = None
             cut = int(np.searchsorted(keys, keys[-1]))  # what comes before the last anchor is complete
             if cut:
-                if held_over == keys[0]:
+                if held_over is not None:
                     end = int(np.searchsorted(keys, keys[0], "right"))
                     yield over(keys[:end], fps[:end], block)
                 forest += pairs_of(keys[:cut], fps[:cut])
@@ -244,6 +250,13 @@ def links(fps: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     return inside.unionByName(between)
 
 
+def _rooted(own: DataFrame, block_rows: int) -> DataFrame:
+    """(fp, first, root) of the distinct fingerprints of own (doc_id, fp): the least doc_id, and the component."""
+    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = connected_components(links(distinct, block_rows))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", block_rows: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links of <= 4 bits.
 
@@ -252,26 +265,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", block_rows: int = BLOCK
     its component has no other. An empty table gives an empty result.
     """
     own = stage(fingerprints(docs, text), "fingerprints", TEXT_ROWS)
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(links(distinct, block_rows))
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    grouped = _rooted(own, block_rows)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp", "left").select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names its component: one document of each group of near-duplicates stays.
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row; it tells rows of one doc_id apart, whatever they hold."""
+    plain = lambda f: isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+    return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if plain(f) else F.col(f"`{f.name}`") for f in docs.schema.fields])
+
+
+#: Rows that repeat a doc_id and all else are counted down to one in so many parts first.
+PARTS = 16
+
+
+def keep_one(docs: DataFrame, text: str = "text", block_rows: int = BLOCK) -> DataFrame:
+    """One row of docs of each component of near-duplicates: the least by (doc_id, hash of the whole row).
 
-    Rows that repeat a doc_id count as one document. Rows without a doc_id are all kept, since none can be told apart.
+    Different texts under one doc_id are different documents: each counts in its own component. Rows that are equal in
+    all columns count as one. Rows without a doc_id are all kept, since none can be told apart, and stand for no other.
+    Null and empty texts are near-duplicates of each other. An empty table gives an empty result.
     """
-    from pyspark.sql import Window
-
-    heads = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    own = shielded(docs, ["doc_id"])
-    named = own.where("doc_id is not null").join(heads, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("doc_id")
-    one = named.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return restored(one.unionByName(own.where("doc_id is null")), docs.columns)
+    key = row_key(docs)
+    own = stage(fingerprints(docs, text, key).where("doc_id is not null"), "fingerprints", TEXT_ROWS)
+    rows = own.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
+    chosen = rows.join(_rooted(own, block_rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("x"))
+    heads = stage(chosen.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"), F.col("x.n").alias("_n")), "heads")
+
+    shown = docs.select(*[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), key.alias("_key"))
+    found = shown.join(heads.where("_n = 1"), ["_id", "_key"], "left_semi").unionByName(shown.where("_id is null"))
+    again = heads.where("_n > 1")
+    if not again.isEmpty():
+        salted = shown.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+        parts = again.select("_id", "_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("_part"))
+        equal = salted.join(parts, ["_id", "_key", "_part"], "left_semi")
+        for by in (["_id", "_key", "_part"], ["_id", "_key"]):
+            order = Window.partitionBy(*by).orderBy(*by)  # equal rows: any of them is the one
+            equal = equal.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        found = found.unionByName(equal.drop("_part"))
+    return restored(found, docs.columns)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from loomwork.llm import simhash
@@ -127,3 +128,62 @@ def test_components_of_random_graphs(spark):
         label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     assert out == label
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def blocks_case(r, sizes):
+    """(anchor, fingerprint) in order: for each anchor so many fingerprints, some of them linked."""
+    keys, fps = [], []
+    for k, n in enumerate(sizes):
+        base = [r.getrandbits(63) for _ in range(max(1, n // 3))]
+        own = set()
+        while len(own) < n:
+            own.add(r.choice(base) ^ sum(1 << b for b in r.sample(range(63), r.randint(0, 5))))
+        keys += [k] * n
+        fps += sorted(own)
+    return np.array(keys, np.int64), np.array(fps, np.int64)
+
+
+def test_links_of_an_anchor_are_found_whatever_the_blocks_and_batches():
+    """Anchors whose rows end exactly with a block, or within it, in batches of any size: all links are found."""
+    r = random.Random(17)
+    for trial in range(250):
+        block = r.randint(2, 8)
+        sizes = [r.choice([block, 2 * block, 3 * block, r.randint(1, 3 * block)]) for _ in range(r.randint(1, 6))]
+        keys, fps = blocks_case(r, sizes)
+        step = r.randint(1, len(keys))
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + step]), pa.array(fps[i : i + step])], ["anchor", "fp"]) for i in range(0, len(keys), step)]
+        out = pa.Table.from_batches(simhash._compare(block)(iter(batches)), schema=simhash._EDGE).to_pylist()
+        pairs = [(x["a"], x["b"]) for x in out if x["anchor"] is None]
+        dealt = {}
+        for x in out:
+            if x["anchor"] is not None:
+                dealt.setdefault(x["anchor"], {}).setdefault(x["block"], []).append(x["a"])
+        for own in dealt.values():
+            for i in own:
+                for j in own:
+                    if i < j:
+                        pairs += simhash.search(np.array(own[i]), np.array(own[j]))
+        for k in range(len(sizes)):
+            own = fps[keys == k].tolist()
+            want = brute_components(own, own)
+            label = {f: f for f in own}
+            for x, y in [p for p in pairs if p[0] in label and p[1] in label]:
+                a, b = sorted((label[x], label[y]))
+                label = {f: a if v == b else v for f, v in label.items()}
+            assert [label[f] for f in own] == want, (trial, block, sizes, step)
+
+
+def test_one_row_stays_of_each_group_whatever_the_ids(spark):
+    """Texts that share an id, rows that are equal, columns that clash, maps: a defined row of each group stays."""
+    a, b = "the first text has these words", "quite another text stands under the same number"
+    rows = [(1, a, 5, {"k": "v"}), (1, a, 5, {"k": "v"}), (1, a, 6, None), (1, b, 5, None), (2, a, 5, None), (3, b, 1, None), (4, None, 0, None), (5, "", 0, None)]
+    rows += [(7, "hot row of equal rows", 1, None)] * 300 + [(None, a, 9, None)] * 2
+    d = spark.createDataFrame(rows, "doc_id int, text string, _key int, root map<string,string>").repartition(5)
+    for blocks in (1 << 16, 2):
+        kept = simhash.keep_one(d, block_rows=blocks)
+        assert kept.columns == d.columns and kept.schema["root"] == d.schema["root"]
+        got = sorted(((x.doc_id or 0, x.text or "") for x in kept.collect()))
+        assert got == [(0, a), (0, a), (1, b), (1, a), (4, ""), (7, "hot row of equal rows")]
+    again = simhash.keep_one(d.repartition(3)).where("text = 'the first text has these words' and doc_id is not null").collect()
+    assert [tuple(x) for x in again] == [tuple(x) for x in kept.where("doc_id = 1").collect() if x.text == a]
+    assert simhash.keep_one(d.limit(0)).count() == 0
