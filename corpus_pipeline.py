@@ -18,7 +18,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id.
+
+    Rows that are equal in all columns are one document; different texts under one doc_id are different ones. Rows
+    without a doc_id all stay. Null and empty texts form one group. An empty table gives an empty one.
+    """
     return simhash.keep_one(docs)
 
 
