@@ -15,6 +15,7 @@ shard keeps each rule's expansion length. File, little-endian:
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from array import array
@@ -94,15 +95,34 @@ class _Parts(dict):
         return out
 
 
+def _parts_at_spaces(tokenizer) -> bool:
+    """Whether a tokenizer is byte-level BPE that changes nothing in a text, so that its parts can be told by white space."""
+    own = json.loads(tokenizer.to_str())
+    pre = own["pre_tokenizer"] or {}
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    model = own["model"]
+    marks = any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return bool(level and own["normalizer"] is None and model.get("type") == "BPE" and not marks)
+
+
 class Encoder:
-    """The tokenizers library's ids of a text. Its parts between spaces are encoded once and remembered."""
+    """The tokenizers library's ids of a text. Its parts between spaces are encoded once and remembered.
+
+    The string of an added token in a text (``<|endoftext|>``) is ordinary text, or with ``library`` what the library's
+    call makes of it by default: the added token.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
-        self.known = _Parts(self.tokenizer)
+        self.plain = _parts_at_spaces(self.tokenizer)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added and library else None
+        self.whole = Tokenizer.from_file(path)  # for texts that are encoded by one call
+        self.whole.encode_special_tokens = not library
+        self.tokenizer.encode_special_tokens = True
+        self.known = _Parts(self.tokenizer) if self.plain else {}
 
     def ids(self, text: str, memo: int = MEMO) -> bytes:
         """Little-endian u32 ids.
@@ -110,6 +130,8 @@ class Encoder:
         A space before a character that is no white space always starts a piece, and a line feed between two such
         characters is a piece by itself; most texts part there. Others are parted as the pre-tokenizer does it.
         """
+        if not self.plain or (self.added and self.added.search(text)):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > memo:
             self.known.clear()
         try:
@@ -126,14 +148,14 @@ class Encoder:
         return b"".join(map(own.__getitem__, chunks))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, library: bool = False) -> Encoder:
     """This process's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, library) not in _encoders:
+        _encoders[path, library] = Encoder(path, library)
+    return _encoders[path, library]
 
 
 def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int, least: int):
@@ -153,10 +175,12 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int,
     if len(good) > most:
         good = good[np.lexsort((good, -counts[good]))[:most]]
     chosen = np.sort(ordered[edges[good]])
-    # a table of slots; of pairs that share a slot the last one is taken this round
+    # a table of slots; of pairs that share a slot one is taken, and the others wait for the next round
     slot_of = lambda p: ((p * wide(_ODD)) >> wide(8 * wide().itemsize - _SLOTS)).astype(np.intp)
     slots = np.full(1 << _SLOTS, -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
     slots[slot_of(chosen)] = np.arange(len(chosen))
+    chosen = chosen[slots[slot_of(chosen)] == np.arange(len(chosen))]
+    slots[slot_of(chosen)] = np.arange(len(chosen))
     rule = slots[slot_of(pairs)]
     at = np.flatnonzero((rule >= 0) & inside)
     rule = rule[at]
@@ -169,6 +193,9 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int,
     run = np.repeat(start, np.diff(np.append(start, len(at))))
     take = (np.arange(len(at), dtype=np.int32) - run) & 1 == 0
     at, rule = at[take], rule[take]
+    used = np.bincount(rule, minlength=len(chosen)) > 0  # pairs that overlapped with others everywhere give no rule
+    rule = (np.cumsum(used) - 1)[rule]
+    left, right = left[used], right[used]
     out, keep = seq.copy(), np.ones(len(seq), bool)
     out[at] = first_new + rule.astype(np.int64)
     keep[at + 1] = False
@@ -229,8 +256,8 @@ def expand(symbols: np.ndarray, pool: np.ndarray, starts: np.ndarray, lengths: n
     return out
 
 
-def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
-    symbols, per_doc, rules = compress(ids, lengths, vocabulary)
+def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int, least: int = LEAST) -> bytes:
+    symbols, per_doc, rules = compress(ids, lengths, vocabulary, least=least)
     sizes = expansion_lengths(rules, vocabulary).astype("<u8")
     width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
     firsts = lambda n: np.concatenate(([0], np.cumsum(n))).astype("<u8").tobytes()
@@ -303,7 +330,14 @@ class Shard:
 
 
 def write(
-    docs: DataFrame, folder: str, text: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS, memo: int = MEMO
+    docs: DataFrame,
+    folder: str,
+    text: str = "text",
+    tokenizer: str | None = None,
+    shard_ids: int = SHARD_IDS,
+    memo: int = MEMO,
+    library: bool = False,
+    least: int = LEAST,
 ) -> DataFrame:
     """Encode every text (null: empty), append END, write shards to the folder in ascending doc_id.
 
@@ -314,7 +348,7 @@ def write(
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer or tokenizer_path())
+        encoder = encoder_of(tokenizer or tokenizer_path(), library)
         vocabulary = encoder.tokenizer.get_vocab_size()
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
@@ -324,7 +358,7 @@ def write(
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(data), "<u4")
             out = Output(folder, f"tokens-{part:06d}-{number:06d}", ".repair")
-            out.write(pack(doc_ids, np.array([len(x) // 4 for x in data], np.int64), ids, vocabulary))
+            out.write(pack(doc_ids, np.array([len(x) // 4 for x in data], np.int64), ids, vocabulary, least))
             out.close()
             return pa.RecordBatch.from_pylist(
                 [{"part": part, "shard": number, "name": out.name, "n_docs": len(doc_ids), "n_ids": len(ids)}], schema=_MANIFEST
@@ -393,12 +427,21 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def encoded(
-    docs: DataFrame, text: str = "text", tokenizer: str | None = None, shard_ids: int = SHARD_IDS, memo: int = MEMO
+    docs: DataFrame,
+    text: str = "text",
+    tokenizer: str | None = None,
+    shard_ids: int = SHARD_IDS,
+    memo: int = MEMO,
+    library: bool = False,
+    least: int = LEAST,
 ) -> DataFrame:
     """Write docs as token shards in the shared folder and read every document back from them.
 
+    The string of an added token in a text is ordinary text; with ``library`` it is the added token, as in the plain call
+    of the library. Pairs of ids are replaced as long as one has the count ``least`` in its shard.
+
     One row per input row: doc_id, start (ids of all documents before), n_tokens (END included), ids_crc32.
     Null and empty texts are END alone. An empty table writes no shard and gives no row.
     """
     folder = new_folder(docs.sparkSession, "shards")
-    return read(write(docs, folder, text, tokenizer, shard_ids, memo), folder)
+    return read(write(docs, folder, text, tokenizer, shard_ids, memo, library, least), folder)

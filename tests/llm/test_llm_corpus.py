@@ -383,3 +383,62 @@ def test_shards_round_trip(spark):
     assert tokenbin.encoded(d.limit(0)).count() == 0
     twice = tokenbin.encoded(d.unionByName(d)).agg(F.count("*"), F.sum("n_tokens"), F.max(F.col("start") + F.col("n_tokens"))).first()
     assert twice[0] == 2 * len(rows) and twice[1] == twice[2] == 2 * at
+
+
+def fresh_ids(text, name=tokenbin.TOKENIZER):
+    """By a tokenizer that nothing has been changed in."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if name not in _fresh:
+        _fresh[name] = Tokenizer.from_file(public_tokenizers.path(name))
+    return _fresh[name].encode(text, add_special_tokens=False).ids
+
+
+_fresh = {}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", " ", "\n", "hello", "<|", "|>", " world"]), st.text(max_size=9)), max_size=8))
+def test_ids_of_the_plain_call(parts):
+    text = "".join(parts).encode("utf-8", "ignore").decode()
+    got = tokenbin.encoder_of(tokenbin.tokenizer_path(), True).ids(text)
+    assert np.frombuffer(got, "<u4").tolist() == fresh_ids(text)
+    if "<|endoftext|>" not in text:
+        assert got == tokenbin.encoder_of(tokenbin.tokenizer_path()).ids(text)
+
+
+def test_ids_of_added_tokens_by_either_rule():
+    text = "hello <|endoftext|> world"
+    ids = lambda library: np.frombuffer(tokenbin.encoder_of(tokenbin.tokenizer_path(), library).ids(text), "<u4").tolist()
+    assert ids(True) == fresh_ids(text) and 50256 in ids(True) and 50256 not in ids(False) and len(ids(False)) > len(ids(True))
+
+
+def test_ids_of_a_tokenizer_of_another_kind():
+    import public_tokenizers
+
+    for text in ("Some Words,  here\nand there", "", "été <|endoftext|> x"):
+        got = tokenbin.encoder_of(public_tokenizers.path("word_bpe_49k.json"), True).ids(text)
+        assert np.frombuffer(got, "<u4").tolist() == fresh_ids(text, "word_bpe_49k.json")
+
+
+def test_query_s_ids_are_the_plain_call_s(spark, tmp_path):
+    from loomwork.llm.queries import op6_tokens
+
+    rows = [(3, "a <|endoftext|> b"), (1, None), (2, "word " * 300_000), (9, "<|endoftext|><|endoftext|>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in op6_tokens(spark, str(tmp_path)).collect()}
+    at = 0
+    for i, t in sorted(rows):
+        ids = fresh_ids(t or "") + [2]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_grammar_of_repetitive_ids_is_small():
+    period = list(range(12))
+    data = tokenbin.pack([1], np.array([60_000]), np.array(period * 5000, np.uint32), 12, least=2)
+    shard = tokenbin.Shard(pa.BufferReader(data))
+    assert shard.n_symbols + len(shard.lengths) <= 60 and shard.ids(0).tolist() == period * 5000
+    for symbols, _, rules in [tokenbin.compress(np.array([1, 1, 1, 2, 1, 1, 2, 2] * 900, np.uint32), np.array([7200]), 10, least=2)]:
+        assert set(range(10, 10 + len(rules))) <= set(symbols.tolist()) | set(rules.reshape(-1).tolist())  # every rule is used
