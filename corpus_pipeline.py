@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards; doc_id, start, n_tokens and ids_crc32 as read back from them."""
-    return tokenbin.encoded(docs)
+    return tokenbin.encoded(docs, library=True)
 
 
 STAGES = [
