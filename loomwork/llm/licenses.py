@@ -14,49 +14,104 @@ from loomwork.llm.words import WordAutomaton, offsets, words_of
 
 #: The contract's phrases and labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notice phrases of well-known licences, their labels, and how far one alone shows that the text is under the licence.
+#: Names of licences as notices write them, and their labels.
+NAMES = {
+    "mit license": "mit",
+    "expat license": "mit",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "boost software license": "bsl-1.0",
+    "boost software license version 1 0": "bsl-1.0",
+    "apache license": "apache",
+    "apache license 2 0": "apache-2.0",
+    "apache license version 2 0": "apache-2.0",
+    "bsd license": "bsd",
+    "bsd 2 clause license": "bsd-2-clause",
+    "simplified bsd license": "bsd-2-clause",
+    "bsd 3 clause license": "bsd-3-clause",
+    "modified bsd license": "bsd-3-clause",
+    "python software foundation license": "psf",
+    "artistic license": "artistic",
+    "gnu gpl": "gpl",
+    "gnu general public license": "gpl",
+    "gnu lgpl": "lgpl",
+    "lesser general public license": "lgpl",
+    "gnu lesser general public license": "lgpl",
+    "gnu agpl": "agpl",
+    "affero general public license": "agpl",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "mozilla public license": "mpl",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0",
+    "open data commons open database license": "odbl",
+    "sil open font license": "ofl",
+    "business source license": "busl",
+    "server side public license": "sspl",
+    "unlicense": "unlicense",
+}
+#: How a notice puts a text under a licence, and how far that shows it; a bare name shows less.
+GRANTS = {
+    "{}": 0.7,
+    "licensed under the {}": 0.95,
+    "licenced under the {}": 0.95,
+    "released under the {}": 0.95,
+    "distributed under the {}": 0.95,
+    "available under the {}": 0.95,
+    "published under the {}": 0.95,
+    "under the terms of the {}": 0.95,
+    "governed by the {}": 0.9,
+    "subject to the {}": 0.85,
+}
+#: Sentences of licence texts and other notices, their labels, and how far one alone shows that the text is under it.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 0.95),
     "the software is provided as is without warranty of any kind": ("mit", 0.6),
-    "released under the mit license": ("mit", 0.95),
-    "licensed under the mit license": ("mit", 0.95),
-    "mit license": ("mit", 0.7),
-    "licensed under the apache license version 2 0": ("apache-2.0", 0.95),
-    "apache license version 2 0": ("apache-2.0", 0.8),
-    "apache license": ("apache", 0.6),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 0.95),
     "redistribution and use in source and binary forms with or without modification": ("bsd", 0.95),
-    "bsd license": ("bsd", 0.7),
-    "gnu general public license": ("gpl", 0.9),
-    "gnu lesser general public license": ("lgpl", 0.95),
-    "lesser general public license": ("lgpl", 0.85),
-    "gnu affero general public license": ("agpl", 0.95),
-    "affero general public license": ("agpl", 0.85),
-    "mozilla public license": ("mpl", 0.9),
-    "eclipse public license": ("epl", 0.9),
-    "creative commons attribution": ("cc-by", 0.9),
-    "creative commons attribution sharealike": ("cc-by-sa", 0.95),
-    "creative commons attribution noncommercial": ("cc-by-nc", 0.95),
-    "creative commons zero": ("cc0", 0.9),
+    "neither the name of the copyright holder nor the names of its contributors": ("bsd-3-clause", 0.9),
+    "unless required by applicable law or agreed to in writing software distributed under the license": ("apache-2.0", 0.9),
+    "this program is free software you can redistribute it and or modify it": ("gpl", 0.9),
+    "this library is free software you can redistribute it and or modify it": ("lgpl", 0.9),
+    "this source code form is subject to the terms of the mozilla public license": ("mpl", 0.95),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 0.95),
+    "to the extent possible under law": ("cc0", 0.6),
     "cc by sa": ("cc-by-sa", 0.9),
     "cc by nc": ("cc-by-nc", 0.9),
     "cc by nd": ("cc-by-nd", 0.9),
+    "cc by nc sa": ("cc-by-nc-sa", 0.9),
+    "cc by nc nd": ("cc-by-nc-nd", 0.9),
     "cc0 1 0": ("cc0", 0.9),
     "public domain": ("public-domain", 0.5),
     "dedicated to the public domain": ("public-domain", 0.9),
-    "this is free and unencumbered software released into the public domain": ("unlicense", 0.95),
     "no part of this publication may be reproduced": ("reserved", 0.9),
     "proprietary and confidential": ("proprietary", 0.9),
 }
+NOTICES |= {how.format(name): (label, weight) for how, weight in GRANTS.items() for name, label in NAMES.items()}
 BASE_WEIGHT = {"cc-by": 0.8, "gpl": 0.8, "reserved": 0.7}
-TAGS = ("spdx license identifier", "license expression")
-#: What one may do under a licence, from least to most restricted; families are told by an identifier's first part.
+#: A tag is followed by a colon or an equals sign, quoted or not; without one the words are prose.
+TAGS = ("spdx license identifier", "license expression", "license spdx")
+_AFTER = re.compile(r"[\"']?[ \t]*[:=][ \t]*[\"']?")
+#: What one may do under a licence, from least to most restricted; families are told by an identifier's first parts.
 TERMS = ("permissive", "copyleft", "restricted", "unknown")
 FAMILIES = {
-    "permissive": "mit apache bsd isc zlib cc0 cc-by unlicense 0bsd psf python artistic bsl wtfpl ncsa postgresql public-domain",
-    "copyleft": "gpl lgpl agpl mpl epl cddl eupl cc-by-sa osl",
-    "restricted": "cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd proprietary reserved busl sspl",
+    "permissive": "0bsd afl apache artistic blueoak bsd bsl cc-by cc0 curl ecl fsfap ftl hpnd ijg isc json libpng mit ms-pl mulanpsl "
+    "ncsa odc-by ofl openssl pddl php postgresql psf public-domain python ruby tcl unicode unlicense upl vim w3c wtfpl x11 zlib zpl",
+    "copyleft": "agpl cc-by-sa cddl cecill cpl epl eupl gfdl gpl ipl lgpl lppl mpl ms-rl odbl osl qpl sleepycat",
+    "restricted": "busl cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd elastic polyform-noncommercial proprietary reserved sspl",
 }
 _FAMILY = {name: kind for kind, names in FAMILIES.items() for name in names.split()}
+#: What may follow a family in an identifier: versions and the words of its variants.
+_VARIANT = re.compile(r"v?\d[\d.]*[a-z]?|only|or|later|clause|clear|patent|no|nuclear|modification|license|perl|cl8|rfn|invariants|dfs|tou|igo")
+#: Identifiers that a document defines itself.
+_OWN = ("licenseref-", "documentref-")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*(?:([A-Za-z0-9][A-Za-z0-9.\-+:]*)|([()]))")
 
@@ -111,6 +166,15 @@ def postfix(expression: str) -> list[str]:
     return out
 
 
+def known(identifier: str) -> bool:
+    """Whether it is the identifier of a licence: a known family with versions and variants, or one of the document's own."""
+    low = identifier.lower().rstrip("+")
+    parts = low.split("-")
+    return low.startswith(_OWN) or any(
+        "-".join(parts[:n]) in _FAMILY and all(map(_VARIANT.fullmatch, parts[n:])) for n in range(1, len(parts) + 1)
+    )
+
+
 def terms_of(identifier: str) -> str:
     """permissive, copyleft, restricted or unknown: by the longest known family that the identifier begins with."""
     parts = identifier.rstrip("+").split("-")
@@ -142,17 +206,17 @@ def evaluate(expression: str) -> tuple[list[str], str]:
     return sorted(set(names)), stack[0][0]
 
 
-def longest_expression(line: str) -> tuple[str, list[str], str] | None:
-    """The longest run of tokens at the start of the line that is an expression, found in one pass.
+def longest_expression(line: str, at: int = 0, end: int | None = None) -> tuple[str, list[str], str] | None:
+    """The longest run of tokens at the start of the line (or from ``at`` to ``end``) that is an expression, in one pass.
 
     The pass ends at the first token that no expression can have there. A licence before ``with`` must be plain: an
     identifier, in parentheses or not.
     """
     tokens: list[str] = []
     groups: list[bool] = []  # for each open parenthesis, whether an operator stands in it
-    at = whole = 0
+    whole, end = 0, len(line) if end is None else end
     operand_next, plain, excepted = True, False, False
-    while m := _TOKEN.match(line, at):
+    while m := _TOKEN.match(line, at, end):
         token, at = m[1] or m[2], m.end()
         low = token.lower()
         if (low in _BINDS or token == ")") == operand_next or (excepted and token == "("):
@@ -190,9 +254,23 @@ def _phrases() -> dict[tuple[bytes, ...], tuple]:
     return {k: tuple(v) for k, v in out.items()}
 
 
+def tagged(text: bytes | None, tags: list[tuple[int, int]]) -> Iterator[tuple[str, list[str], str]]:
+    """The expressions behind tags (spans of words), each within its line. The text is read once, whatever the tags."""
+    if not tags:
+        return
+    whole, line_end = text.decode("utf-8", "replace"), -1
+    for _, end in offsets(text, tags):
+        if m := _AFTER.match(whole, end):
+            if m.end() > line_end:
+                line_end = whole.find("\n", m.end())
+                line_end = len(whole) if line_end < 0 else line_end
+            if found := longest_expression(whole, m.end(), line_end):
+                yield found
+
+
 def scan_text(text: bytes | None, automaton: WordAutomaton) -> dict:
     words = words_of(text)
-    base, labels, missing, tags = [], set(), 1.0, []
+    base, missing, tags = [], 1.0, []
     weights: dict[str, float] = {}
     for a, z, values in automaton.find(words):
         for kind, value in values:
@@ -204,11 +282,10 @@ def scan_text(text: bytes | None, automaton: WordAutomaton) -> dict:
             else:
                 tags.append((a, z))
     expressions = []
-    for (_, end), _ in zip(offsets(text, tags), tags) if tags else ():
-        line = text.decode("utf-8", "replace")[end:].split("\n", 1)[0].lstrip(" \t:=\"'")
-        if found := longest_expression(line):
+    for found in tagged(text, tags):
+        if names := [x for x in found[1] if known(x)]:
             expressions.append(found)
-            weights |= {name: 0.99 for name in found[1]}
+            weights |= dict.fromkeys(names, 0.99)
     labels = set(weights)
     for w in weights.values():
         missing *= 1 - w
@@ -242,7 +319,8 @@ _FIELDS = [
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, counts and places of the base phrases, labels, score, licence expressions and their terms.
 
-    score is 1 minus the product of (1 - weight) over the labels: 0 without any, near 1 with a tag or a full notice.
+    A tag needs its colon or equals sign, and gives labels for known identifiers and LicenseRef- ones only; an expression
+    without any is none. score is 1 minus the product of (1 - weight) over the labels: 0 without any, near 1 with a tag or a full notice.
     terms is the strictest among the expressions, or the labels where there is no expression. Null and empty texts
     have no words, empty label strings, score 0 and null places. Every row, repeated ones too, gives one row.
     """

@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontam, langid, licenses
-from loomwork.llm.words import offsets, words_of
+from loomwork.llm.words import WordAutomaton, offsets, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -195,3 +196,53 @@ def test_language_learns_nothing_from_held_out_or_other_columns(spark):
     assert langid.train(d.limit(0)) == [] and langid.classify(d.limit(0)).count() == 0
     none = langid.classify(d.withColumn("lang", F.lit(None).cast("string")).limit(3)).collect()
     assert [x.lang_pred for x in none] == ["und"] * 3
+
+
+def scanned(text):
+    return licenses.scan_text(text.encode(), WordAutomaton(licenses._phrases()))
+
+
+def test_prose_is_no_licence_expression():
+    for text in ("A license expression must be agreed by both sides.", "The license expression: must be agreed.", "SPDX license identifier MIT is short."):
+        x = scanned(text)
+        assert x["expressions"] == [] and x["terms"] in (None, "permissive") and not {"must", "is"} & set(x["labels"].split(","))
+    x = scanned("License-Expression: MIT OR must\nspdx-license-identifier = 'LicenseRef-Own AND Gpl-2.0-or-later WITH Classpath-exception-2.0'")
+    assert x["labels"] == "gpl-2.0-or-later,licenseref-own,mit" and len(x["expressions"]) == 2 and x["terms"] == "unknown"
+
+
+def test_known_identifiers():
+    good = "MIT MIT-0 Apache-2.0 BSD-3-Clause BSD-2-Clause-Patent GPL-3.0-or-later LGPL-2.1+ CC-BY-NC-SA-4.0 CC0-1.0 0BSD Zlib MPL-2.0 BSL-1.0 Artistic-1.0-Perl LicenseRef-x"
+    assert all(map(licenses.known, good.split()))
+    assert not any(map(licenses.known, "must the Foo-1.0 mitten gplx MIT-licensed a 2.0".split()))
+
+
+def test_tags_without_number_in_one_line_or_many():
+    n = 20_000
+    for gap in (" ; ", "\n", " é; "):
+        start = time.perf_counter()
+        x = scanned(gap.join(["SPDX-License-Identifier: MIT AND ISC"] * n))
+        assert len(x["expressions"]) == n and x["labels"] == "isc,mit" and time.perf_counter() - start < 20
+    x = scanned("SPDX-License-Identifier: " + " OR ".join(f"LicenseRef-{i}" for i in range(40)))
+    assert len(x["labels"].split(",")) == 40
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) v(words, label)),
+h AS (SELECT doc_id, k - 1 AS place, label FROM d, p, unnest(range(1, len(w) - len(words) + 2)) u(k) WHERE w[k:k + len(words) - 1] = words)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, count(place)::BIGINT AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN h USING (doc_id) GROUP BY ALL
+"""
+
+
+def test_base_columns_against_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = sorted(con.execute(BASE_SQL).fetchall())
+    got = licenses.scan(spark.read.parquet(path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == want and any(x[2] for x in want)
