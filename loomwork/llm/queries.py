@@ -29,8 +29,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # ids by the plain call of the library; a worker does nothing else, so it may remember more
-    return tokenbin.encoded(table(spark, sf_dir, "documents"), memo=1_200_000, library=True)
+    return tokenbin.encoded(table(spark, sf_dir, "documents"), library=True)  # ids by the plain call of the library
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

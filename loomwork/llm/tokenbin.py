@@ -119,8 +119,7 @@ class Encoder:
         self.plain = _parts_at_spaces(self.tokenizer)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added and library else None
-        self.whole = Tokenizer.from_file(path)  # for texts that are encoded by one call
-        self.whole.encode_special_tokens = not library
+        self.library = library
         self.tokenizer.encode_special_tokens = True
         self.known = _Parts(self.tokenizer) if self.plain else {}
 
@@ -131,7 +130,7 @@ class Encoder:
         characters is a piece by itself; most texts part there. Others are parted as the pre-tokenizer does it.
         """
         if not self.plain or (self.added and self.added.search(text)):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.ids_of_whole(text)
         if len(self.known) > memo:
             self.known.clear()
         try:
@@ -139,6 +138,14 @@ class Encoder:
         except TypeError:
             return self.ids_of_chunks(text)
 
+    def ids_of_whole(self, text: str) -> bytes:
+        """By one call of the library."""
+        self.tokenizer.encode_special_tokens = not self.library
+        try:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def ids_of_chunks(self, text: str) -> bytes:
         own: dict[str, bytes] = {}
         chunks = _CHUNK.findall(text)
@@ -158,41 +165,63 @@ def encoder_of(path: str, library: bool = False) -> Encoder:
     return _encoders[path, library]
 
 
-def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int, least: int):
-    """One round: the most frequent pairs, (left, right) rows, replaced where they don't overlap. last: ends a document."""
+def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int, least: int, since: int | None = None):
+    """One round: the most frequent pairs, (left, right) rows, replaced where they don't overlap. last: ends a document.
+
+    With ``since`` only pairs with a symbol from there on are looked at. Also says whether a frequent pair was left.
+    A chosen pair has no occurrence after its round: one that overlaps with another replaced pair is gone with it.
+    """
+    none = np.zeros((0, 2), np.int64)
     if len(seq) < 2 or most <= 0:
-        return seq, last, np.zeros((0, 2), np.int64)
+        return seq, last, none, False
     wide = np.uint64 if first_new + most > 1 << 16 else np.uint32
     shift = wide(32 if wide is np.uint64 else 16)
-    pairs = (seq[:-1].astype(wide) << shift) | seq[1:].astype(wide)
-    inside = ~last[:-1]
-    ordered = np.sort(pairs[inside])
+    if since is None:
+        where = None
+        pairs = (seq[:-1].astype(wide) << shift) | seq[1:].astype(wide)
+        inside = ~last[:-1]
+        ordered = np.sort(pairs[inside])
+    else:
+        new = seq >= since
+        where = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+        pairs = (seq[where].astype(wide) << shift) | seq[where + 1].astype(wide)
+        ordered = np.sort(pairs)
+    if not len(ordered):
+        return seq, last, none, False
     edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(edges, len(ordered)))
     good = np.flatnonzero(counts >= least)
     if not len(good):
-        return seq, last, np.zeros((0, 2), np.int64)
-    if len(good) > most:
+        return seq, last, none, False
+    left_over = len(good) > most
+    if left_over:
         good = good[np.lexsort((good, -counts[good]))[:most]]
     chosen = np.sort(ordered[edges[good]])
-    # a table of slots; of pairs that share a slot one is taken, and the others wait for the next round
-    slot_of = lambda p: ((p * wide(_ODD)) >> wide(8 * wide().itemsize - _SLOTS)).astype(np.intp)
-    slots = np.full(1 << _SLOTS, -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
-    slots[slot_of(chosen)] = np.arange(len(chosen))
-    chosen = chosen[slots[slot_of(chosen)] == np.arange(len(chosen))]
-    slots[slot_of(chosen)] = np.arange(len(chosen))
-    rule = slots[slot_of(pairs)]
-    at = np.flatnonzero((rule >= 0) & inside)
-    rule = rule[at]
-    hit = chosen[rule] == pairs[at]
-    at, rule = at[hit], rule[hit]
+    if where is None:
+        # a table of slots; of pairs that share a slot one is taken, and the others wait for the next round
+        slot_of = lambda p: (p * wide(_ODD)) >> wide(8 * wide().itemsize - _SLOTS)
+        slots = np.full(1 << _SLOTS, -1, np.int16 if len(chosen) < 1 << 15 else np.int32)
+        slots[slot_of(chosen)] = np.arange(len(chosen))
+        first = slots[slot_of(chosen)] == np.arange(len(chosen))
+        if not first.all():
+            chosen, left_over = chosen[first], True
+            slots[slot_of(chosen)] = np.arange(len(chosen))
+        rule = slots.take(slot_of(pairs), mode="clip")
+        at = np.flatnonzero((rule >= 0) & inside)
+        rule = rule.take(at)
+        hit = np.flatnonzero(chosen.take(rule) == pairs.take(at))
+        at, rule = at.take(hit), rule.take(hit)
+    else:
+        rule = np.minimum(np.searchsorted(chosen, pairs), len(chosen) - 1)
+        hit = chosen[rule] == pairs
+        at, rule = where[hit], rule[hit]
     left = (chosen >> shift).astype(np.int64)
     right = (chosen & ((wide(1) << shift) - wide(1))).astype(np.int64)
     # of neighbouring hits every other one, from the left
     start = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1))).astype(np.int32)
     run = np.repeat(start, np.diff(np.append(start, len(at))))
-    take = (np.arange(len(at), dtype=np.int32) - run) & 1 == 0
-    at, rule = at[take], rule[take]
+    take = np.flatnonzero((np.arange(len(at), dtype=np.int32) - run) & 1 == 0)
+    at, rule = at.take(take), rule.take(take)
     used = np.bincount(rule, minlength=len(chosen)) > 0  # pairs that overlapped with others everywhere give no rule
     rule = (np.cumsum(used) - 1)[rule]
     left, right = left[used], right[used]
@@ -200,23 +229,27 @@ def replace_pairs(seq: np.ndarray, last: np.ndarray, first_new: int, most: int,
     out[at] = first_new + rule.astype(np.int64)
     keep[at + 1] = False
     ends = last.copy()
-    ends[at] = last[at + 1]
-    return out[keep], ends[keep], np.stack([left, right], 1)
+    ends[at] = last.take(at + 1)
+    kept = np.flatnonzero(keep)
+    return out.take(kept), ends.take(kept), np.stack([left, right], 1), left_over
 
 
 def compress(ids: np.ndarray, lengths: np.ndarray, first_new: int, rounds=None, most=PAIRS_A_ROUND, least=LEAST):
     """(symbols, symbols of each document, rules) of the ids of documents with the given lengths (none is 0).
 
-    Rounds go on (to ``rounds``, if given) until no pair has the least count, or symbols of two bytes are used up.
+    Rounds go on (to ``rounds``, if given) until no pair has the least count, or symbols of two bytes are used up. After
+    a round that left no frequent pair, only pairs with one of its new symbols can be frequent.
     """
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths) - 1] = True
-    seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.int64)
+    seq, rules, since = ids.astype(np.uint32), np.zeros((0, 2), np.int64), None
     for _ in itertools.count() if rounds is None else range(rounds):
-        room = min(most, (1 << 16) - first_new - len(rules)) if first_new < 1 << 16 else most
-        seq, last, new = replace_pairs(seq, last, first_new + len(rules), room, least)
+        after = first_new + len(rules)
+        room = min(most, (1 << 16) - after) if first_new < 1 << 16 else most
+        seq, last, new, left_over = replace_pairs(seq, last, after, room, least, since)
         if not len(new):
             break
+        since = None if left_over else after
         rules = np.concatenate([rules, new])
     ends = np.flatnonzero(last)
     return seq, np.diff(np.concatenate(([-1], ends))), rules
@@ -244,16 +277,17 @@ def expansions(rules: np.ndarray, first_new: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first_new: int) -> np.ndarray:
     """The ids that the symbols stand for. pool has the expansions of all rules one after another."""
-    sizes = np.ones(len(symbols), np.int64)
     rule = symbols >= first_new
+    if not rule.any():
+        return symbols.astype(np.uint32)
+    every = np.concatenate([np.arange(first_new, dtype=np.uint32), pool])  # ids stand for themselves
     own = symbols[rule].astype(np.int64) - first_new
-    sizes[rule] = lengths[own]
-    out = np.repeat(symbols, sizes).astype(np.uint32)
-    if len(own):
-        where = np.cumsum(sizes)[rule] - lengths[own]
-        inner = np.arange(lengths[own].sum()) - np.repeat(np.cumsum(lengths[own]) - lengths[own], lengths[own])
-        out[np.repeat(where, lengths[own]) + inner] = pool[np.repeat(starts[own], lengths[own]) + inner]
-    return out
+    sizes, places = np.ones(len(symbols), np.int64), symbols.astype(np.int64)
+    sizes[rule], places[rule] = lengths[own], first_new + starts[own]
+    ends = np.cumsum(sizes)
+    at = np.repeat(places - (ends - sizes), sizes)
+    at += np.arange(len(at))
+    return every.take(at)
 
 
 def pack(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int, least: int = LEAST) -> bytes:
