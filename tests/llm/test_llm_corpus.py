@@ -109,11 +109,16 @@ def test_base_counts(text):
     assert quality.base(text) == brute_base(text)
 
 
+def numbered(text):
+    """Characters as the model has them: digits alike, code points beyond 16 bits by their upper bits."""
+    return [0, 0, 0] + [48 if x in "0123456789" else ord(x) if ord(x) < 1 << 16 else 0xD800 + (ord(x) >> 10) for x in text]
+
+
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney over character classes, by dictionaries."""
+    """Interpolated modified Kneser-Ney over characters, by dictionaries."""
     top = Counter()
     for t in texts:
-        c = [0, 0, 0] + [int(quality.classes()[ord(x)]) for x in t]
+        c = numbered(t)
         top.update(tuple(c[i : i + 4]) for i in range(len(c) - 3))
     counts = {4: top}
     for k in (3, 2, 1):
@@ -130,7 +135,7 @@ def brute_model(texts):
 
     def p(g):
         if not g:
-            return 1 / 64
+            return 1 / 65536
         k = len(g)
         total, taken = context[k].get(g[:-1], (0, 0))
         if not total:
@@ -143,22 +148,39 @@ def brute_model(texts):
 
 def test_model_is_kneser_ney(spark):
     r = random.Random(9)
-    texts = [" ".join("".join(r.choice("aeiklmnost") for _ in range(r.randint(1, 7))) for _ in range(25)) for _ in range(60)]
-    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(99, "ENTIRELY ## other", "de")], "doc_id long, text string, lang string").repartition(3)
-    folder = new_folder(spark, "test")
-    model = quality.Model(folder, quality.write_model(quality.probabilities(quality.count_grams(d)), folder))
+    texts = [" ".join("".join(r.choice("aeiklmnostЖ漢😀7") for _ in range(r.randint(1, 7))) for _ in range(25)) for _ in range(60)]
+    d = spark.createDataFrame([(5, t) for t in texts] + [(9, "ENTIRELY ## other"), (9, None), (9, "")], "m int, text string").repartition(3)
+    levels = quality.probabilities(quality.count_grams(d))
     p = brute_model(texts)
-    pack = lambda g: sum(c << 6 * (3 - i) for i, c in enumerate(g))
-    grams = [tuple(r.randrange(64) for _ in range(4)) for _ in range(50)]
+    pack = lambda g: sum(c << 16 * (3 - i) for i, c in enumerate(g))
+    grams = [tuple(r.choice([0, 32, 97, 105, 120, 0x416, 0x6F22]) for _ in range(4)) for _ in range(60)]
     for t in texts[:5]:
-        c = [0, 0, 0] + [int(quality.classes()[ord(x)]) for x in t]
+        c = numbered(t)
         grams += [tuple(c[i : i + 4]) for i in range(len(c) - 3)]
-    got = model.log_p(np.array([pack(g) for g in grams]), "en")
-    assert np.allclose(got, [math.log(p(g)) for g in grams], atol=1e-4)
+    for chunk in (quality.CHUNK, 50):
+        folder = new_folder(spark, "test")
+        chunks = quality.write_model(levels, folder, chunk)
+        assert set(chunks) == {5, 9} and (chunk > 50 or len(chunks[5]) > 2 * quality.CHUNKS)  # more than are kept at hand
+        assert all(own == sorted(own) and max(n for *_, n in own) <= chunk for own in chunks.values())
+        model = quality.Model(folder, chunks)
+        got = model.log_p(np.array([pack(g) for g in grams], np.uint64), 5)
+        assert np.allclose(got, [math.log(p(g)) for g in grams], atol=1e-4)
+        own = [[tuple(numbered(t)[i : i + 4]) for i in range(len(t))] for t in texts]
+        want = [sum(math.log(p(g)) for g in x) / len(x) for x in own]
+        for _ in range(2):  # the second time from what is remembered
+            assert np.allclose(model.mean_log_p([*texts, ""], [5] * 61)[:60], want, atol=1e-4)
     h = grams[-1][:3]
-    assert abs(np.exp(model.log_p(np.array([pack((*h, w)) for w in range(64)]), "en")).sum() - 1) < 1e-4
-    want = -sum(math.log(p(g)) for g in [tuple(([0, 0, 0] + [int(quality.classes()[ord(x)]) for x in texts[0]])[i : i + 4]) for i in range(len(texts[0]))]) / len(texts[0])
-    assert abs(-model.mean_log_p(texts[0], "en") - want) < 5e-3
+    assert abs(np.exp(model.log_p(np.array([pack((*h, w)) for w in range(1 << 16)], np.uint64), 5)).sum() - 1) < 1e-3
+    assert model.mean_log_p(["", "x"], [5, 77])[0] is None and model.log_p(np.array([1], np.uint64), 77)[0] == -math.log(1 << 16)
+
+
+def test_long_texts_are_scored_in_slices(spark, monkeypatch):
+    text = "slices of a text, 12 of them; " * 40
+    whole = np.concatenate(list(quality.grams(text)))
+    monkeypatch.setattr(quality, "SLICE", 7)
+    assert (np.concatenate(list(quality.grams(text))) == whole).all() and len(whole) == len(text)
+    c = numbered(text)
+    assert whole.tolist() == [sum(x << 16 * (3 - i) for i, x in enumerate(c[k : k + 4])) for k in range(len(text))]
 
 
 def test_language_is_the_primary_subtag(spark):
@@ -185,6 +207,42 @@ def test_quality_verdicts(spark):
     assert quality.rated(d.limit(0)).count() == 0
 
 
+def test_a_rare_language_has_bands_too(spark):
+    r = random.Random(18)
+    line = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, line(["ta", "ko", "mi", "sen", "ul"], 60), "en") for i in range(200)]
+    rows += [(1000 + i, line(["ж", "ба", "но", "ли"], 200), "ru-RU") for i in range(24)]
+    rows += [(2000 + i, " ".join("".join(chr(r.randrange(0x430, 0x450)) for _ in range(5)) for _ in range(200)), "ru") for i in range(2)]
+    rows += [(3000, line(["x", "y"], 40), "tlh"), (3001, line(["q", "w"], 40), None)]
+    out = {x.doc_id: x for x in quality.rated(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(x.low is not None for x in out.values())
+    assert sum(out[1000 + i].kept for i in range(24)) >= 23 and not out[2000].kept and not out[2001].kept
+    assert out[3000].kept and out[3001].kept and sum(out[i].kept for i in range(200)) >= 196
+
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) u(i)),
+r AS (SELECT doc_id, g FROM k GROUP BY ALL HAVING count(*) > 1),
+x AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM k SEMI JOIN r USING (doc_id, g)) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT,
+  coalesce((SELECT sum(n - 1) FROM l WHERE l.doc_id = d.doc_id), 0)::BIGINT, coalesce(x.n, 0)::BIGINT
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
+def test_base_columns_of_quality_against_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = sorted(con.execute(QUALITY_SQL).fetchall())
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted(tuple(x) for x in quality.rated(spark.read.parquet(path)).select(*names).collect()) == want
+
+
 # ---- lines
 
 
