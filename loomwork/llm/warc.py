@@ -29,6 +29,9 @@ LEAST_BYTES = 100
 ARCHIVE_BYTES, BLOCK_LINES, SALT = 1 << 27, 3000, 16
 #: Records next to each other in an archive are read together up to so many bytes.
 READ_BYTES = 1 << 22
+#: Records are dealt to reading tasks in stretches of so many bytes of an archive, a task for each as far as there are
+#: MOST_TASKS; the numbers are fixed before, since locators are too small to tell their work.
+STRETCH, MOST_TASKS = 1 << 21, 20_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
@@ -230,7 +233,7 @@ def locate(requests: DataFrame, index: DataFrame, folder: str) -> DataFrame:
 
     if not files:
         return requests.sparkSession.createDataFrame([], "key string, page long, name string, offset long, length long")
-    dealt = requests.select("key", "page").mapInArrow(choose, "key string, page long, part int").repartition("part")
+    dealt = requests.select("key", "page").mapInArrow(choose, "key string, page long, part int").repartition(min(MOST_TASKS, len(files)), "part")
     return dealt.sortWithinPartitions("part", "key", "page").mapInArrow(run, "key string, page long, name string, offset long, length long")
 
 
@@ -248,8 +251,8 @@ def ranges(rows: Iterable[tuple[str, int, int]]) -> Iterator[tuple[str, int, lis
         yield name, at, lengths
 
 
-def read_records(located: DataFrame, folder: str) -> DataFrame:
-    """The fields of the located records, read from the archives by byte ranges."""
+def read_records(located: DataFrame, folder: str, total: int | None = None) -> DataFrame:
+    """The fields of the located records, read from the archives by byte ranges. total: the bytes of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = (None, None)
@@ -265,7 +268,9 @@ def read_records(located: DataFrame, folder: str) -> DataFrame:
                     start += n
             yield pa.RecordBatch.from_pylist([{k: x[k] for k in _RECORD.names} for x in out], schema=_RECORD)
 
-    rows = located.select("name", "offset", "length").repartition("name").sortWithinPartitions("name", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH).alias("stretch")
+    tasks = () if total is None else (max(1, min(MOST_TASKS, total // STRETCH + 1)),)
+    rows = located.select("name", "offset", "length", stretch).repartition(*tasks, "name", "stretch").sortWithinPartitions("name", "offset")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
     return stage(rows.mapInArrow(run, schema), "records", 512)
 
@@ -292,4 +297,5 @@ def archived(pages: DataFrame) -> DataFrame:
     folder = new_folder(pages.sparkSession, "warc")
     captures = write_archives(pages, folder)
     index = write_index(captures, folder)
-    return read_records(locate(captures.select("key", "page").distinct(), index, folder), folder)
+    total = captures.agg(F.sum("length")).first()[0]
+    return read_records(locate(captures.select("key", "page").distinct(), index, folder), folder, total)
