@@ -23,8 +23,9 @@ from loomwork.llm.components import connected_components, spanning_forest
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Bands with up to so many different lines give all their pairs; larger ones are searched with the lines at hand.
 SHORT_RUN = 12
-#: Lines of a large band in one task; more are paired off block by block.
-BLOCK = 1 << 15
+#: A large band is cut into blocks of so many lines, and every two blocks meet in a group of their own. Bands of more
+#: than BLOCK * BLOCKS lines have larger blocks, up to MOST_LINES, and beyond those more blocks.
+BLOCK, BLOCKS, MOST_LINES = 256, 64, 1 << 14
 #: Line hashes whose bands a task has already given, remembered up to this many.
 SEEN = 200_000
 #: Most bits of the filter of lines that are candidates.
@@ -366,19 +367,15 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
     both = left.join(own.select(F.col("h").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t").sortWithinPartitions("b")
     verified = stage(both.mapInArrow(verify, "a long, b long"), "similar", 2000)
 
-    from pyspark.sql import Window
-
-    dealt = large.join(own, "h")
-    counts = large.groupBy("key").count().where(F.col("count") > block)
-    if counts.isEmpty():
-        dealt = dealt.withColumns({"block": F.lit(0).cast("long"), "i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-    else:  # numbers within a band cut it into blocks; each block goes to the tasks of all its pairs
-        n = F.row_number().over(Window.partitionBy("key").orderBy("h")) - 1
-        numbered = large.withColumn("block", F.floor(n / block)).join(counts.withColumnRenamed("count", "n"), "key", "left")
-        last = F.coalesce(F.floor((F.col("n") - 1) / block), F.lit(0))
-        spread = numbered.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        spread = spread.select("key", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        dealt = spread.join(own, "h")
+    # the blocks of a band are told by the hash of a line, so that no band is brought together to number its lines
+    n = F.col("n")
+    size = F.greatest(F.lit(block), F.least(F.ceil(n / F.lit(BLOCKS)), F.lit(max(block, MOST_LINES))))
+    counts = large.groupBy("key").agg(F.count("*").alias("n")).where(n > block).select("key", F.ceil(n / size).alias("blocks"))
+    cut = large.join(counts, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
+    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.select("key", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    dealt = spread.join(own, "h")
     order = ["key", "i", "j"]
     ready = dealt.select(*order, "block", "h", "text").repartition(*order).sortWithinPartitions(*order)
     searched = ready.mapInArrow(_search_groups, "a long, b long")
