@@ -8,22 +8,31 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import discard, stage
 
 
+class Joined:
+    """Union-find over the numbers that one task has seen."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        a, b = self.find(x), self.find(y)
+        self.parent[max(a, b)] = min(a, b)
+        self.parent.setdefault(min(a, b), min(a, b))
+        return a != b
+
+
 def spanning_forest(pairs) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the given pairs (one task's own pairs)."""
-    parent: dict[int, int] = {}
-    kept = []
-    for x, y in pairs:
-        a, b = x, y
-        while (p := parent.setdefault(a, a)) != a:
-            parent[a] = parent[p]
-            a = parent[p]
-        while (p := parent.setdefault(b, b)) != b:
-            parent[b] = parent[p]
-            b = parent[p]
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append((x, y))
-    return kept
+    joined = Joined()
+    return [(x, y) for x, y in pairs if joined.join(x, y)]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, discard, restored, shielded, stage
-from loomwork.llm.components import connected_components, spanning_forest
+from loomwork.llm.components import Joined, connected_components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
 #: Bands with up to so many different lines give all their pairs; larger ones are searched with the lines at hand.
 SHORT_RUN = 12
-#: A large band is cut into blocks of so many lines, and every two blocks meet in a group of their own. Bands of more
-#: than BLOCK * BLOCKS lines have larger blocks, up to MOST_LINES, and beyond those more blocks.
-BLOCK, BLOCKS, MOST_LINES = 256, 64, 1 << 14
+#: Lines of a large band that one task compares; longer bands are cut into blocks (see ``_searched_in_blocks``), each with
+#: some lines of the band in common.
+BLOCK, SHARED = 512, 4
 #: Line hashes whose bands a task has already given, remembered up to this many.
 SEEN = 200_000
 #: Most bits of the filter of lines that are candidates.
@@ -188,10 +188,13 @@ def texts_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, text string")
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, h) in order. Pairs (a, b) of short runs; (a, null, key) for each line of a long run."""
+def _candidates(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Reads (key, h) in order of the key. Pairs (a, b) of short runs; (a, null, key) for each line of a long run, which may
+    repeat in runs of over ``most`` lines."""
 
     def made(keys: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((h, keys))
+        keys, h = keys[order], h[order]
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (h[1:] != h[:-1])))
         keys, h = keys[fresh], h[fresh]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -218,19 +221,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["a", "b", "key"],
         )
 
+    def beyond(keys: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.nulls(len(h), pa.int64()), pa.array(keys)], ["a", "b", "key"])
+
     held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that is open; repeats of a line in it are dropped as they come
+    long = None  # the key of a run that is given row by row, since it is too long to hold
     for batch in batches:
         keys, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if long is not None:
+            n = int(np.searchsorted(keys, long, "right"))
+            yield beyond(keys[:n], h[:n])
+            keys, h = keys[n:], h[n:]
         if not len(keys):
             continue
+        long = None
         if held:
             keys, h = np.concatenate([held[0][0], keys]), np.concatenate([held[0][1], h])
         cut = int(np.searchsorted(keys, keys[-1]))
         if cut:
             yield made(keys[:cut], h[:cut])
-        keys, h = keys[cut:], h[cut:]
-        fresh = np.concatenate(([True], h[1:] != h[:-1]))
-        held = [(keys[fresh], h[fresh])]
+        h = np.unique(h[cut:])
+        held = [(np.full(len(h), keys[-1]), h)]
+        if len(h) > most:
+            yield beyond(*held[0])
+            long, held = keys[-1], []
     if held:
         yield made(*held[0])
 
@@ -308,35 +322,76 @@ def search(texts: list[str], side: np.ndarray | None = None) -> list[tuple[int,
 
 
 def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (key, i, j, block, h, text) in order of (key, i, j): a block of a large band, or a pair of its blocks."""
+    """Reads (key, i, j, side, h, text) in order of (key, i, j). A group's lines are compared with each other, or if they
+    have sides (0 and 1) with those of the other side."""
     group: tuple | None = None
     held: tuple[list, list, list] = ([], [], [])
 
     def found() -> pa.RecordBatch:
-        block, h, texts = held
-        side = None if group[1] == group[2] else (np.array(block) == group[2]).astype(int)
-        pairs = search(texts, side)
+        sides, h, texts = held
+        pairs = search(texts, np.array(sides) if sides[0] is not None else None)
         return pa.RecordBatch.from_arrays([pa.array([h[x] for x, _ in pairs], pa.int64()), pa.array([h[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
     for b in batches:
-        for key, i, j, block, h, text in zip(*(b.column(k).to_pylist() for k in range(6))):
+        for key, i, j, side, h, text in zip(*(b.column(k).to_pylist() for k in range(6))):
             if (key, i, j) != group:
                 if group is not None:
                     yield found()
                 group, held = (key, i, j), ([], [], [])
-            held[0].append(block)
+            held[0].append(side)
             held[1].append(h)
             held[2].append(text)
     if group is not None:
         yield found()
 
 
+def _searched(dealt: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): the links inside the groups of dealt (key, i, j, side, h); own has the lines' texts."""
+    order = ["key", "i", "j"]
+    ready = dealt.join(own, "h").select(*order, "side", "h", "text").repartition(*order).sortWithinPartitions(*order)
+    return stage(ready.mapInArrow(_search_groups, "a long, b long"), "searched", 500)
+
+
+def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """(a, b): links that connect what is connected in each band of huge (key, h, n), together with the known links.
+
+    A band is cut into blocks by the hash of its lines, and each block is searched together with a few lines that all
+    blocks of the band have, so that a band of similar lines becomes one component, block by block. Only lines that are
+    then outside their band's largest component are held against the whole band, in a grid of blocks.
+    """
+    zero, blocks = F.lit(0).cast("long"), lambda n: F.ceil(n / F.lit(block)).cast("long")
+    cut = stage(huge.withColumns({"i": F.pmod(F.xxhash64("h"), blocks(F.col("n"))), "blocks": blocks(F.col("n"))}), "cut")
+    some = cut.groupBy("key", "blocks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("h", "key"), F.col("n")) < 8 * SHARED, F.col("h")))), 1, SHARED).alias("hs"))
+    some = some.select("key", "blocks", F.explode("hs").alias("h"))
+    some = some.select("key", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), "h")
+    dealt = cut.select("key", "i", "h").unionByName(some).distinct().select("key", "i", F.lit(-1).cast("long").alias("j"), F.lit(None).cast("int").alias("side"), "h")
+    inside = _searched(dealt, own)
+
+    lines = cut.select("h").distinct()
+    ends = lambda e, c: e.join(lines.select(F.col("h").alias(c)), c, "left_semi")
+    roots = connected_components(inside.unionByName(ends(ends(known, "a"), "b")))
+    placed = cut.join(roots, cut.h == roots.node, "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
+    placed = stage(placed, "placed")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
+    rest = stage(placed.join(largest, "key").where("root <> largest").select("key", "h"), "rest")
+    parts = rest.groupBy("key").agg(blocks(F.count("*")).alias("rows"))
+    if parts.isEmpty():
+        return inside
+    columns = blocks(F.col("n"))
+    grid = placed.join(parts, "key")
+    left = rest.join(placed.select("key", "h", "n"), ["key", "h"]).join(parts, "key")
+    left = left.withColumn("j", F.explode(F.sequence(zero, columns - 1))).select("key", F.pmod(F.xxhash64("h"), F.col("rows")).alias("i"), "j", F.lit(0).alias("side"), "h")
+    right = grid.withColumn("i", F.explode(F.sequence(zero, F.col("rows") - 1))).select("key", "i", F.pmod(F.xxhash64("h"), columns).alias("j"), F.lit(1).alias("side"), "h")
+    return inside.unionByName(_searched(left.unionByName(right), own))
+
+
 def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> DataFrame:
     """(a, b) hashes of different lines that are similar; enough of them to connect all that are connected."""
-    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key", "h")
+    keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")  # one number to sort by
     found = stage(keyed.mapInArrow(_candidates, "a long, b long, key long"), "candidates", NARROW_ROWS)
     pairs = found.where("b is not null").select("a", "b").distinct()
-    large = found.where("b is null").select("key", F.col("a").alias("h"))
+    large = found.where("b is null").select("key", F.col("a").alias("h")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(large.select("h")).distinct()
     wanted = stage(wanted, "wanted")
     with_text = stage(texts_of(docs, text, bitmap(wanted)).join(wanted, "h", "left_semi"), "texts", TEXT_ROWS)
@@ -344,11 +399,14 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
     discard(with_text)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = Joined()
         for b in batches:
             a, z = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = zip(a, z, b.column(2).to_pylist(), b.column(3).to_pylist())
             good, last, plain, sets = [], None, None, (set(), None)
             for x, y, s, t in rows:  # rows of one line follow each other
+                if joined.find(x) == joined.find(y):
+                    continue  # connected by links that are found already
                 if t != last:
                     last, plain = t, packed(t)
                     sets = (shingles(t), None) if plain is None else (None, set(plain.tolist()))
@@ -360,26 +418,23 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
                     near = similarity(shingles(s), sets[0])
                 if near >= SIMILARITY:
                     good.append((x, y))
-            good = spanning_forest(good)
+                    joined.join(x, y)
+            if len(joined.parent) > SEEN:
+                joined.parent.clear()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in good], pa.int64()), pa.array([y for _, y in good], pa.int64())], ["a", "b"])
 
     left = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("s")), "a")
     both = left.join(own.select(F.col("h").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t").sortWithinPartitions("b")
     verified = stage(both.mapInArrow(verify, "a long, b long"), "similar", 2000)
 
-    # the blocks of a band are told by the hash of a line, so that no band is brought together to number its lines
-    n = F.col("n")
-    size = F.greatest(F.lit(block), F.least(F.ceil(n / F.lit(BLOCKS)), F.lit(max(block, MOST_LINES))))
-    counts = large.groupBy("key").agg(F.count("*").alias("n")).where(n > block).select("key", F.ceil(n / size).alias("blocks"))
-    cut = large.join(counts, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")))
-    spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", "h", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    dealt = spread.join(own, "h")
-    order = ["key", "i", "j"]
-    ready = dealt.select(*order, "block", "h", "text").repartition(*order).sortWithinPartitions(*order)
-    searched = ready.mapInArrow(_search_groups, "a long, b long")
-    return verified.unionByName(stage(searched, "searched", 500))
+    counts = large.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    long, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    if counts.isEmpty():
+        return verified.unionByName(_searched(large.select("key", long.alias("i"), long.alias("j"), none.alias("side"), "h"), own))
+    counts = stage(counts, "counts")
+    usual = large.join(counts, "key", "left_anti").select("key", long.alias("i"), long.alias("j"), none.alias("side"), "h")
+    found = verified.unionByName(_searched(usual, own))
+    return found.unionByName(_searched_in_blocks(large.join(counts, "key"), own, found, block))
 
 
 def line_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
