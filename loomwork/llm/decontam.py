@@ -1,21 +1,27 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the 13-word windows of normalised benchmark items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the 13-word windows of normalised benchmark items.
+
+Windows are made and grouped by Spark and written to the shared folder in blocks of bounded size. A scanning task has the
+automaton of one block in memory: it is built once where there is one block; else the task takes its texts some tens of
+megabytes at a time and holds them against one block after the other, so texts are read once and memory doesn't grow
+with the benchmark.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import TEXT_ROWS, stage
+from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, new_folder, stage
+from loomwork.llm.files import Output, reader
 from loomwork.llm.words import WordAutomaton, offsets, words_of
 
 WINDOW = 13
-#: Windows of one automaton (some 200 MB at most). A larger benchmark is scanned in blocks, one automaton after the other.
-WINDOWS_PER_AUTOMATON = 200_000
+#: Windows of one automaton, about (some 200 MB), and the bytes of text that are held against one block after the other.
+WINDOWS_PER_AUTOMATON, HELD_BYTES = 200_000, 1 << 25
 
 
 def windows(text: bytes | None, width: int = WINDOW) -> set[tuple[bytes, ...]]:
@@ -26,18 +32,67 @@ def windows(text: bytes | None, width: int = WINDOW) -> set[tuple[bytes, ...]]:
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
 
 
-def window_blocks(benchmark: DataFrame, text: str, width: int, most: int) -> Iterator[dict[tuple[bytes, ...], tuple[str, ...]]]:
-    """Windows with the ids of their items, in blocks of at most ``most`` windows (one item's windows stay together)."""
-    block: dict[tuple[bytes, ...], set[str]] = {}
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.encode(text, "UTF-8").alias("t"))
-    for row in rows.toLocalIterator():
-        own = windows(bytes(row.t) if row.t is not None else None, width)
-        if block and len(block) + len(own) > most:
-            yield {k: tuple(sorted(v)) for k, v in block.items()}
-            block = {}
-        for w in own:
-            block.setdefault(w, set()).add(row.i)
-    yield {k: tuple(sorted(v)) for k, v in block.items()}
+def write_windows(benchmark: DataFrame, folder: str, text: str, width: int = WINDOW, most: int = WINDOWS_PER_AUTOMATON) -> list[str]:
+    """Writes the windows with the ids of their items in blocks of about ``most`` windows; the names of the files.
+
+    Windows are told apart and their items gathered by Spark. Items without an id have windows, too, but no name.
+    """
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(b" ".join(w), i) for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()) for w in windows(t, width)]
+            for at in range(0, len(found), NARROW_ROWS):
+                part = found[at : at + NARROW_ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([i for _, i in part], pa.string())], ["w", "i"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = writer = sink = block = None
+
+        def close() -> pa.RecordBatch:
+            writer.close()
+            out.write(sink.getvalue().to_pybytes())
+            out.close()
+            return pa.RecordBatch.from_pydict({"name": [out.name]})
+
+        for b in batches:
+            blocks = b.column(0).to_pylist()
+            at = 0
+            while at < len(blocks):
+                to = at
+                while to < len(blocks) and blocks[to] == blocks[at]:
+                    to += 1
+                if block != blocks[at]:
+                    if out:
+                        yield close()
+                    block, out, sink = blocks[at], Output(folder, "windows", ".arrow"), pa.BufferOutputStream()
+                    writer = pa.ipc.new_stream(sink, _WINDOWS)
+                own = [c.slice(at, to - at).cast(f.type) for c, f in zip(b.columns[1:], _WINDOWS)]
+                writer.write_batch(pa.RecordBatch.from_arrays(own, schema=_WINDOWS))
+                at = to
+        if out:
+            yield close()
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col(text).alias("t"))
+    found = stage(rows.mapInArrow(expand, "w binary, i string").groupBy("w").agg(F.collect_set("i").alias("items")), "windows")
+    blocks = max(1, -(-found.count() // most))
+    dealt = found.select(F.pmod(F.xxhash64("w"), F.lit(blocks)).alias("block"), "w", "items")
+    dealt = dealt.repartition(min(blocks, 20_000), "block").sortWithinPartitions("block")
+    return [r["name"] for r in stage(dealt.mapInArrow(run, "name string"), "blocks", 2000).collect()]
+
+
+_WINDOWS = pa.schema([("w", pa.binary()), ("items", pa.list_(pa.string()))])
+_built: dict[tuple[str, str], WordAutomaton] = {}
+
+
+def automaton_of(folder: str, name: str) -> WordAutomaton:
+    """The automaton of a block; a process has one at a time."""
+    if (folder, name) not in _built:
+        _built.clear()
+        with reader(folder, name) as f:
+            own = pa.ipc.open_stream(f.read()).read_all()
+        phrases = {tuple(w.split(b" ")): tuple(items) for w, items in zip(own.column(0).to_pylist(), own.column(1).to_pylist())}
+        _built[folder, name] = WordAutomaton(phrases)
+    return _built[folder, name]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -51,53 +106,68 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _HITS = "n_words long, hits array<struct<a:int,z:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
 
 
-def _scanner(block, text_at: int, first: bool):
-    built: list[WordAutomaton] = []
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, most: int = WINDOWS_PER_AUTOMATON, held: int = HELD_BYTES) -> DataFrame:
+    """docs with n_words, hits (merged spans of words inside any occurring window) and items (sorted ids).
+
+    Texts are scanned whole. Null and empty texts have no words and no hits; null and empty items match nothing; repeated
+    items count once by id; an item without an id hits words but is not named; every input row stays. Columns of docs
+    named n_words, hits or items would clash with the result and raise.
+    """
+    clash = {"n_words", "hits", "items"} & {c.lower() for c in docs.columns}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are the result's own")
+    folder = new_folder(docs.sparkSession, "windows")
+    names = write_windows(benchmark, folder, text, width, most)
+    at = docs.columns.index(text)
+
+    def scanned(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [b.column(at).cast(pa.binary()).to_pylist() for b in waiting]
+        spans: list[list] = [[[] for _ in own] for own in texts]
+        items: list[list] = [[set() for _ in own] for own in texts]
+        counts: list[list[int]] = [[0] * len(own) if names else [len(words_of(t)) for t in own] for own in texts]
+        for name in names:
+            automaton = automaton_of(folder, name)
+            for k, own in enumerate(texts):
+                for i, t in enumerate(own):
+                    w = words_of(t)
+                    counts[k][i] = len(w)
+                    found = automaton.find(w)
+                    if found:
+                        spans[k][i] = merged(spans[k][i] + [(a, z) for a, z, _ in found])
+                        items[k][i].update(*(x for _, _, x in found))
+        for b, n, hits, named in zip(waiting, counts, spans, items):
+            own = [
+                pa.array(n, pa.int64()),
+                pa.array([[{"a": a, "z": z} for a, z in x] for x in hits], _SPANS),
+                pa.array([sorted(x) for x in named], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, "n_words", "hits", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(WordAutomaton(block.value))
+        waiting: list[pa.RecordBatch] = []
+        size = 0
         for b in batches:
-            texts = b.column(text_at).cast(pa.binary()).to_pylist()
-            n = len(b.schema) if first else len(b.schema) - 3
-            before = [([], [])] * len(texts) if first else list(zip(b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()))
-            counts, hits, items = [], [], []
-            for t, (old, named) in zip(texts, before):
-                w = words_of(t)
-                found = built[0].find(w)
-                counts.append(len(w))
-                spans = merged([(a, z) for a, z, _ in found] + [(h["a"], h["z"]) for h in old])
-                hits.append([{"a": a, "z": z} for a, z in spans])
-                items.append(sorted({i for _, _, own in found for i in own}.union(named)))
-            span = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
-            own = [pa.array(counts, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(b.columns[:n] + own, [*b.schema.names[:n], "n_words", "hits", "items"])
-
-    return run
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, most: int = WINDOWS_PER_AUTOMATON) -> DataFrame:
-    """docs with n_words, hits (merged spans of words inside any occurring window) and items (sorted ids).
+            waiting.append(b)
+            size += b.column(at).nbytes
+            if len(names) < 2 or size >= held:
+                yield from scanned(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from scanned(waiting)
 
-    Texts are scanned whole, once for each block of the benchmark. Null and empty texts have no words and no
-    hits; null and empty items match nothing; repeated items count once by id; every input row stays.
-    Columns of docs named n_words, hits or items are not allowed here (``contaminated`` selects what it needs).
-    """
-    spark = docs.sparkSession
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
-    for k, block in enumerate(window_blocks(benchmark, text, width, most)):
-        run = _scanner(spark.sparkContext.broadcast(block), docs.columns.index(text), k == 0)
-        out = out.mapInArrow(run, f"{kinds}, {_HITS}")
-    return out
+    return docs.mapInArrow(run, f"{kinds}, {_HITS}")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WINDOW, most: int = WINDOWS_PER_AUTOMATON) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and spans of the original text.
 
-    A row is contaminated if n_hit > 0 and 20 * n_hit >= n_words. spans are code-point offsets of the hit passages.
+    A row is contaminated if n_hit > 0 and 20 * n_hit >= n_words. spans are code-point offsets of the hit passages. Null
+    and empty texts have no words and are clean; every row, repeated ones too, gives one row; other columns are ignored;
+    empty tables give no rows, or no hits. See ``scan`` for items.
     """
     found = scan(docs.select("doc_id", F.col(text).alias("text")), benchmark.select("item_id", F.col(text).alias("text")), "text", width, most)
 
@@ -131,7 +201,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", widt
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
+    """The rows of docs that are not contaminated, with all their columns, whatever their names.
+
+    Null and empty texts are clean and stay, as do all of repeated rows that are clean. An empty benchmark removes nothing.
+    """
     rest = [F.col(c).alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
     found = scan(docs.select(*rest, F.col(text).alias("_text")), benchmark.select("item_id", F.col("text").alias("_text")), "_text")
     n_hit = F.aggregate("hits", F.lit(0), lambda s, h: s + h["z"] - h["a"])
