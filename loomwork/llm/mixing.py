@@ -11,6 +11,8 @@ target are kept whole, and the others take up what is left in the proportions of
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ DIMENSIONS = ("source", "language", "topic")
 #: Target share of a level: its share of tokens to this power, normalised (1 keeps the shares, 0 makes levels equal).
 POWERS = {"source": 0.7, "language": 0.8, "topic": 0.9}
 SWEEPS, TOLERANCE = 40, 1e-11
+#: A share further than this from its target is reported: the targets contradict each other, or need more sweeps.
+STRAYED = 1e-4
 #: The least expected share of all tokens that is kept.
 LEAST_KEPT = 0.4
 SEED = "mix"
@@ -66,16 +70,66 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 CELLS_A_FILE = 1_000_000
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+#: Up to so many cells are raked as arrays in one row; more as tables, a small job for each step.
+CELLS_IN_A_ROW = 20_000
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, tolerance: float = TOLERANCE, in_a_row: int = CELLS_IN_A_ROW
+) -> DataFrame:
     """cells (source, language, topic, tokens) with ``weight``: the product of the factors that meet the targets.
 
-    targets: for each dimension (level, target). Each step sums the cells weighted by the other two factors and writes
-    its level table, so plans stay small; level tables are small next to the cells, and Spark decides by their size
-    whether to broadcast them. Levels that no cell has get factor 0; so do cells without a target.
+    targets: for each dimension (level, target). Levels that no cell has get factor 0; so do cells without a target.
     Where targets contradict each other (a level that lies wholly inside a smaller one) raking ends after ``sweeps``, and
-    the last dimension's targets are the ones that hold.
+    the last dimension's targets are the ones that hold; ``calibrated`` warns of it.
     """
-    files = max(1, -(-cells.count() // CELLS_A_FILE))
+    n = cells.count()
+    factors = (_factors_in_a_row if n <= in_a_row else _factors_in_tables)(cells, targets, sweeps, tolerance, n)
+    out = cells
+    for d in DIMENSIONS:
+        out = out.join(factors[d].select(d, d[0]), d)
+    return out.select(*DIMENSIONS, "tokens", (F.col("s") * F.col("l") * F.col("t")).alias("weight"))
+
+
+def _factors_in_a_row(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, n: int) -> dict[str, DataFrame]:
+    """The factors by higher-order functions over one row: for each dimension the cells of each of its levels."""
+    level = lambda d: f"{d[0]}_at"
+    own, row = cells, None
+    for d in DIMENSIONS:  # levels in order, numbered from 1
+        whole = targets[d].agg(F.array_sort(F.collect_list(F.struct(F.col(d).alias("name"), F.col("target").cast("double").alias("target")))).alias("levels"))
+        numbers = whole.select(F.posexplode("levels").alias("at", "level")).select((F.col("at") + 1).alias(level(d)), F.col("level.name").alias(d))
+        own = own.join(numbers, d)
+        row = whole.select(F.col("levels").alias(f"{d}_levels")) if row is None else row.crossJoin(whole.select(F.col("levels").alias(f"{d}_levels")))  # one row each
+    own = stage(own.select(*map(level, DIMENSIONS), F.col("tokens").cast("double").alias("n")).coalesce(1), "numbered")
+    for d in DIMENSIONS:
+        a, b = (level(x) for x in DIMENSIONS if x != d)
+        lists = own.groupBy(F.col(level(d)).alias("at")).agg(F.array_sort(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), "n"))).alias("own"))
+        both = lists.agg(F.map_from_entries(F.collect_list(F.struct("at", "own"))).alias("lists"))
+        row = row.crossJoin(both.withColumnRenamed("lists", f"{d}_lists"))  # one row each
+    for d in DIMENSIONS:
+        cells_of = F.transform(f"{d}_levels", lambda x, i: F.coalesce(F.try_element_at(F.col(f"{d}_lists"), i + 1), F.array().cast("array<struct<a:int,b:int,n:double>>")))  # noqa: B023
+        row = row.withColumn(f"{d}_cells", cells_of)
+    row = stage(row.select(*[f"{d}_{x}" for d in DIMENSIONS for x in ("levels", "cells")]), "row")
+
+    def stepped(state, k):
+        def new(d: str):
+            a, b = (state[x[0]] for x in DIMENSIONS if x != d)
+            summed = lambda own: F.aggregate(own, F.lit(0.0), lambda s, c: s + c["n"] * F.element_at(a, c["a"]) * F.element_at(b, c["b"]))
+            return F.transform(f"{d}_levels", lambda x, i: F.coalesce(F.try_divide(x["target"], summed(F.element_at(F.col(f"{d}_cells"), i + 1))), F.lit(0.0)))
+
+        return F.struct(*[F.when(k % 3 == j, new(d)).otherwise(state[d[0]]).alias(d[0]) for j, d in enumerate(DIMENSIONS)])
+
+    start = F.struct(*[F.transform(f"{d}_levels", lambda x: F.lit(1.0)).alias(d[0]) for d in DIMENSIONS])
+    done = row.withColumn("state", F.aggregate(F.sequence(F.lit(0), F.lit(3 * sweeps - 1)), start, stepped))
+    done = stage(done.select("state", *[f"{d}_levels" for d in DIMENSIONS]), "factors")
+    zipped = lambda d: F.explode(F.arrays_zip(F.transform(f"{d}_levels", lambda x: x["name"]).alias("name"), F.col(f"state.{d[0]}").alias("factor")))
+    return {d: done.select(zipped(d).alias("x")).select(F.col("x.name").alias(d), F.col("x.factor").alias(d[0])) for d in DIMENSIONS}
+
+
+def _factors_in_tables(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, tolerance: float, n: int) -> dict[str, DataFrame]:
+    """The factors by sums over the cells weighted by the other two factors. Each step writes its level table, so plans stay
+    small; level tables are small next to the cells, and Spark decides by their size whether to broadcast them."""
+    files = max(1, -(-n // CELLS_A_FILE))
     cells = cells.coalesce(files)
     factors = {d: stage(t.select(d, "target", F.lit(1.0).alias(d[0])).coalesce(files), f"f-{d}") for d, t in targets.items()}
     for _ in range(sweeps):
@@ -91,10 +145,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         moved = factors["source"].agg(F.max(F.abs(F.try_divide("s", "before") - 1))).first()[0]
         if moved is None or moved < tolerance:
             break
-    out = cells
+    return factors
+
+
+def strayed(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest difference between a level's weighted share and its target."""
+    worst = None
     for d in DIMENSIONS:
-        out = out.join(factors[d].select(d, d[0]), d)
-    return out.select(*DIMENSIONS, "tokens", (F.col("s") * F.col("l") * F.col("t")).alias("weight"))
+        sums = raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("sum"))
+        all_ = sums.agg(F.sum("sum").alias("all"))
+        own = targets[d].join(sums, d).crossJoin(F.broadcast(all_))  # one row
+        own = own.agg(F.max(F.abs(F.try_divide("sum", "all") - F.col("target"))).alias("off"))
+        worst = own if worst is None else worst.unionByName(own)
+    return worst.agg(F.max("off")).first()[0] or 0.0
 
 
 def goals(cells: DataFrame, targets: DataFrame, dimension: str, kept: float) -> DataFrame:
@@ -159,6 +222,8 @@ def calibrated(keyed_docs: DataFrame, powers: dict[str, float] | None = None, ta
     powers = powers or POWERS
     targets = targets or {d: tempered(cells, d, powers[d]) for d in DIMENSIONS}
     raked = stage(rake(cells, targets), "raked")
+    if (off := strayed(raked, targets)) > STRAYED:
+        warnings.warn(f"raking ended after {SWEEPS} sweeps with shares that are up to {off:.2g} off their targets", RuntimeWarning, stacklevel=2)
     tokens = F.col("tokens").cast("double")
     top = raked.agg(F.max("weight").alias("top"), F.sum(tokens).alias("all"), F.sum(tokens * F.col("weight")).alias("mass"))
     found = top.first()
@@ -204,7 +269,11 @@ def mixture(docs: DataFrame, language: str = "lang", topic: Column | None = None
 
 
 def sample(docs: DataFrame, language: str = "lang", topic: Column | None = None, powers=None, targets=None) -> DataFrame:
-    """The sampled rows of docs, with their columns."""
+    """The sampled rows of docs, with their columns, whatever their names.
+
+    Null keys are a level of their own, and a null or empty text counts as one token. Rows that repeat a doc_id are drawn
+    alike, and those without one, too. An empty table gives an empty one.
+    """
     own = shielded(docs, list(dict.fromkeys(["doc_id", "text", "source", language])))
     own = _with_probability(own, language, topic, powers, targets)
     return restored(own.where(uniform() < F.col("_probability")), docs.columns)
