@@ -1,17 +1,19 @@
 import hashlib
 import math
 import random
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomwork.llm import linededup, mixing, quality, tokenbin, warc
-from loomwork.llm.common import new_folder
+from loomwork.llm.common import new_folder, stage
 
 
 # ---- archives
@@ -373,6 +375,28 @@ def test_one_rare_document_does_not_decide_what_is_kept(spark):
         assert ((got / target)[~free] <= ratio.max() * 1.01).all()
 
 
+def test_rows_and_tables_rake_alike(spark):
+    d = mixing_case(spark, 400)
+    cells = mixing.keyed(d).groupBy(*[F.col(f"_{x}").alias(x) for x in mixing.DIMENSIONS]).agg(F.sum("_tokens").alias("tokens"))
+    cells = stage(cells, "cells")
+    targets = {x: stage(mixing.tempered(cells, x, 0.5), "targets") for x in mixing.DIMENSIONS}
+    targets["topic"] = targets["topic"].where("topic <> 'empty'").unionByName(spark.createDataFrame([("nowhere", 0.01)], "topic string, target double"))
+    a, b = ({tuple(x[:4]): x.weight for x in mixing.rake(cells, targets, sweeps=6, in_a_row=n).collect()} for n in (10_000, 0))
+    assert a.keys() == b.keys() and a and all(abs(a[k] - b[k]) <= 1e-9 * abs(b[k]) for k in a)
+
+
+def test_targets_that_contradict_each_other_are_reported(spark):
+    rows = [(i, "w w w", "only-de" if i % 2 else "s", "de" if i % 2 else "en") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    share = lambda c, a, b: spark.createDataFrame([(a, 0.9), (b, 0.1)], f"{c} string, target double")
+    targets = {"source": share("source", "only-de", "s"), "language": share("language", "en", "de"), "topic": spark.createDataFrame([("note", 1.0)], "topic string, target double")}
+    with pytest.warns(RuntimeWarning, match="off their targets"):
+        assert mixing.mixture(d, targets=targets).count() == 40
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        assert mixing.mixture(mixing_case(spark, 200)).count() == 240
+
+
 # ---- tokens
 
 
@@ -500,3 +524,37 @@ def test_grammar_of_repetitive_ids_is_small():
     assert shard.n_symbols + len(shard.lengths) <= 60 and shard.ids(0).tolist() == period * 5000
     for symbols, _, rules in [tokenbin.compress(np.array([1, 1, 1, 2, 1, 1, 2, 2] * 900, np.uint32), np.array([7200]), 10, least=2)]:
         assert set(range(10, 10 + len(rules))) <= set(symbols.tolist()) | set(rules.reshape(-1).tolist())  # every rule is used
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes beside a null and an empty one: archives, lines and licences have it whole."""
+    from loomwork.llm import licenses
+
+    line = "a line of words that differs by its number only "
+    text = "\n".join(f"{line}{k}" for k in range(60_000)) + "\nAll rights reserved, at the very end"
+    rows = [(1, "http://a.com/1", text), (2, "http://a.com/2", None), (3, None, ""), (4, "http://a.com/4", text)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [tuple(x)[:5] for x in warc.archived(pages).collect()]
+    assert sorted(got, key=key) == sorted(brute_archive(rows), key=key)
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    found = {x.doc_id: x for x in licenses.scan(docs).collect()}
+    assert found[1].n_base == 1 and found[1].last_word == found[1].n_words - 7 and found[2].n_words == 0
+    lines = linededup.line_components(docs.where("doc_id < 4")).collect()
+    assert len(lines) == 60_001 and {x.component_line for x in lines if x.line_no < 60_000} == {0}
+
+
+def test_candidates_of_runs_of_any_length():
+    r = random.Random(2)
+    for _ in range(200):
+        rows = []
+        for key in range(r.randint(1, 6)):
+            rows += [(key, r.randrange(40)) for _ in range(r.choice([1, 3, 10, 60]))]
+        step = r.randint(1, len(rows))
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.int64()), pa.array([h for _, h in part], pa.int64())], ["key", "h"]) for part in (rows[i : i + step] for i in range(0, len(rows), step))]
+        out = [tuple(x.values()) for b in linededup._candidates(iter(batches), r.choice([15, 1 << 16])) for x in b.to_pylist()]
+        groups = defaultdict(set)
+        for k, h in rows:
+            groups[k].add(h)
+        small = {(a, b) for own in groups.values() if len(own) <= linededup.SHORT_RUN for a in own for b in own if a < b}
+        large = {(h, k) for k, own in groups.items() if len(own) > linededup.SHORT_RUN for h in own}
+        assert {(min(a, b), max(a, b)) for a, b, _ in out if b is not None} == small and {(a, k) for a, b, k in out if b is None} == large

@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 import time
+import zlib
+from collections import Counter
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomwork.llm import decontam, langid, licenses
@@ -246,3 +249,86 @@ def test_base_columns_against_sql(spark):
     want = sorted(con.execute(BASE_SQL).fetchall())
     got = licenses.scan(spark.read.parquet(path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     assert sorted(map(tuple, got)) == want and any(x[2] for x in want)
+
+
+def plain_prediction(text, dictionaries):
+    """By a fresh compressor for each block and language, without precomputed dictionaries or groups."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = re.sub(r"[\W\d_]+", " ", text.lower()).encode("utf-8", "replace")
+    sizes = []
+    for lang, own in dictionaries:
+        params = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+        total = 0
+        for at in range(0, len(data), langid.BLOCK):
+            d = zstandard.ZstdCompressionDict(own or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            total += len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(langid.BALLAST + data[at : at + langid.BLOCK]))
+        sizes.append(total)
+    best = sizes.index(min(sizes))
+    rest = sizes[:best] + sizes[best + 1 :]
+    return dictionaries[best][0], 1 - sizes[best] / min(rest) if rest else 1.0
+
+
+def plain_dictionaries(rows):
+    """The training sample chosen in plain Python: only its documents, their first characters, in the order of their ids' hashes."""
+    own = [r for r in rows if r[0] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    return Counter(r[2] for r in own)
+
+
+@pytest.mark.parametrize("at_once", [langid.AT_ONCE, 2])
+def test_language_against_plain_compression(spark, at_once, monkeypatch):
+    monkeypatch.setattr(langid, "HELD_BYTES", 500)
+    odd = [(1000, None, "en"), (1001, "", "en"), (1002, "½ ² ３", "de"), (1003, "the and", None), (1004, "der und " * 4000, "de"), (1005, "Ünd ª", "de")]
+    rows = language_docs(80) + odd
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    dictionaries = langid.train(d)
+    counts = plain_dictionaries(rows)
+    assert [x for x, _ in dictionaries] == sorted(counts, key=lambda x: (-counts[x], x))
+    texts = dict((r[0], r[1]) for r in rows)
+    for lang, own in dictionaries:  # every learned text is there, cut to its bound, and nothing else
+        learned = [langid.normal(t[: langid.CHARS_PER_DOC]) for i, t, x in rows if x == lang and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+        assert all(t in own for t in learned) and len(own) == sum(map(len, learned)) + len(learned) - 1
+    out = {x.doc_id: x for x in langid.classify(d, at_once=at_once).collect()}
+    for i, t in texts.items():
+        lang, score = plain_prediction(t, dictionaries)
+        assert out[i].lang_pred == lang and abs(out[i].score - score) < 1e-12 and out[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert out[i].rejected == (lang == "und" or score < langid.MARGIN)
+    assert out[1002].lang_pred == "und" and out[1005].lang_pred != "und"
+    assert {x.doc_id for x in langid.accepted(d, at_once=at_once).collect()} == {i for i, x in out.items() if not x.rejected}
+
+
+def test_more_languages_than_are_held_at_once(spark):
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(9):
+        parts = ["".join(r.sample(letters, 3)) for _ in range(6)]
+        rows += [(100 * k + i, " ".join("".join(r.choice(parts) for _ in range(2)) for _ in range(50)), f"l{k}") for i in range(24)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {x.doc_id: x.lang_pred for x in langid.classify(d, at_once=4).collect()}
+    assert out == {x.doc_id: x.lang_pred for x in langid.classify(d).collect()} and len(set(out.values())) == 9
+
+
+def test_items_without_an_id_and_clashing_columns(spark):
+    b = spark.createDataFrame([(None, "secret words of an item"), (7, "other words of it")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "the secret words of an item stand here"), (2, "Other-words of it! secret words of an item")], "doc_id long, text string")
+    got = {x.doc_id: (x.n_hit, x.n_items, x.items_sha256) for x in decontam.contaminated(d, b).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (5, 0, sha("")), 2: (9, 1, sha("7"))}
+    for name in ("hits", "N_words"):
+        with pytest.raises(ValueError):
+            decontam.scan(d.withColumn(name, F.lit(1)), b)
+
+
+def test_very_long_text_against_a_benchmark_in_blocks(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(f"x{r.randrange(900)}" for _ in range(30))) for i in range(40)]
+    filler = " ".join(f"y{k}" for k in range(400_000))
+    text = f"{filler} {items[3][1]} {filler} {items[9][1].upper()}"
+    d = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for most in (10_000, 50):
+        x = decontam.contaminated(d, b, most=most).where("doc_id = 1").first()
+        assert (x.n_words, x.n_hit, x.n_items, x.contaminated) == (800_060, 60, 2, False)
+        assert [text[s.start : s.end].lower() for s in x.spans] == [items[3][1], items[9][1]]
