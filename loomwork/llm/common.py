@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.sources.folders import new_folder, shared_folder  # noqa: F401
+
 #: Rows of an Arrow batch that carries whole texts; keeps a Python worker's batch small even when texts are long.
 TEXT_ROWS = 64
 #: Rows of an Arrow batch that carries numbers only.
 NARROW_ROWS = 20_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomwork-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/loomwork-{tag}-{uuid.uuid4().hex}"
-
-
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows while the block runs."""
