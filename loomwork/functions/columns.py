@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ GEO = r"^\s*(-?[0-9]{1,3}\.[0-9]+)\s*[, ]\s*(-?[0-9]{1,3}\.[0-9]+)\s*$"
 _ENDS = r"(?U)^\s+|\s+$"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once a row, however often f uses it (inside other functions' lambdas, too)."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at either end, not only spaces."""
     return F.regexp_replace(c, _ENDS, "")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomwork.functions.columns import let
+
 
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, a row of the table as the bits of one integer."""
@@ -61,6 +63,31 @@ def reachable(a: Column, b: Column, threshold: float) -> Column:
     return 2.0 * F.least(a, b) >= F.lit(threshold) * (a + b)
 
 
+def letter_bits(key: Column) -> Column:
+    """{lo, hi, over}: how often a text has the characters of each of 32 groups, up to four times, as unary numbers of four
+    bits; over counts the characters beyond. Two texts can't have more characters in common than ``in_common`` tells."""
+
+    def counts(groups: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda g: F.size(F.filter(groups, lambda x: x == g)))
+
+    def packed(n: Column, half: int) -> Column:
+        ones = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.lit(4), F.element_at(n, k + 1 + 16 * half))) - 1
+        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", ones(k), 4 * k)))
+
+    def bits(n: Column) -> Column:
+        over = F.aggregate(n, F.lit(0), lambda s, x: s + F.greatest(x - 4, F.lit(0)))
+        return F.struct(packed(n, 0).alias("lo"), packed(n, 1).alias("hi"), over.alias("over"))
+
+    letters = F.transform(F.filter(F.split(key, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c), F.lit(32)))
+    return let(let(letters, counts), bits)
+
+
+def in_common(a: Column, b: Column) -> Column:
+    """No less than the number of characters that two texts share, from their ``letter_bits``."""
+    shared = lambda half: F.bit_count(a[half].bitwiseAND(b[half]))
+    return shared("lo") + shared("hi") + F.least(a["over"], b["over"])
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product in doubles; -1 for vectors of different or no length."""
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

@@ -11,40 +11,58 @@ from pyspark.sql import functions as F
 
 _TEXT = frozenset({"enum", "identifier", "free_text"})
 #: Canonical fields in order of precedence, their aliases, and the kinds they take (None: any).
-CANONICALS: dict[str, tuple[str, frozenset | None]] = {
-    "amount": ("price cost amt amount value total subtotal fee charge salary revenue spend balance budget mrr arr payment paid", frozenset({"numeric"})),
-    "quantity": ("qty quantity count units unit stock inventory", frozenset({"numeric"})),
-    "rating": ("rating score points point stars star rank grade", frozenset({"numeric"})),
-    "age": ("age years", frozenset({"numeric"})),
-    "email": ("email emails mail e", _TEXT),
-    "phone": ("phone tel telephone mobile cell fax msisdn number", _TEXT),
-    "first_name": ("firstname fname givenname given forename first", _TEXT),
-    "last_name": ("lastname lname surname familyname family last", _TEXT),
-    "company": ("company organization organisation org employer business vendor supplier winery brand account firm", _TEXT),
-    "full_name": ("name fullname person taster", _TEXT),
-    "job_title": ("jobtitle title role position designation occupation", _TEXT),
-    "country": ("country cntry ctry nation countrycode", _TEXT),
-    "region": ("region state province county territory area", _TEXT),
-    "interests": ("interest interests hobby hobbies topic topics", frozenset({"enum", "identifier"})),
-    "location": ("location coordinates coords latlng latlong geo geopoint position point", frozenset({"geo_point"})),
-    "city": ("city town municipality", _TEXT),
-    "address": ("address addr street", None),
-    "postal_code": ("zip zipcode postal postcode postalcode", _TEXT),
+CANONICALS: dict[str, tuple[list[str], frozenset | None]] = {
+    "amount": (
+        [
+            "price", "cost", "amt", "amount", "value", "total", "subtotal", "fee", "charge", "salary", "revenue", "spend", "balance",
+            "budget", "mrr", "arr", "payment", "paid",
+        ],
+        frozenset({"numeric"}),
+    ),
+    "quantity": (["qty", "quantity", "count", "units", "unit", "stock", "inventory"], frozenset({"numeric"})),
+    "rating": (["rating", "score", "points", "point", "stars", "star", "rank", "grade"], frozenset({"numeric"})),
+    "age": (["age", "years"], frozenset({"numeric"})),
+    "email": (["email", "emails", "mail", "e"], _TEXT),
+    "phone": (["phone", "tel", "telephone", "mobile", "cell", "fax", "msisdn", "number"], _TEXT),
+    "first_name": (["firstname", "fname", "givenname", "given", "forename", "first"], _TEXT),
+    "last_name": (["lastname", "lname", "surname", "familyname", "family", "last"], _TEXT),
+    "company": (
+        [
+            "company", "organization", "organisation", "org", "employer", "business", "vendor", "supplier", "winery", "brand", "account",
+            "firm",
+        ],
+        _TEXT,
+    ),
+    "full_name": (["name", "fullname", "person", "taster"], _TEXT),
+    "job_title": (["jobtitle", "title", "role", "position", "designation", "occupation"], _TEXT),
+    "country": (["country", "cntry", "ctry", "nation", "countrycode"], _TEXT),
+    "region": (["region", "state", "province", "county", "territory", "area"], _TEXT),
+    "interests": (["interest", "interests", "hobby", "hobbies", "topic", "topics"], frozenset({"enum", "identifier"})),
+    "location": (["location", "coordinates", "coords", "latlng", "latlong", "geo", "geopoint", "position", "point"], frozenset({"geo_point"})),
+    "city": (["city", "town", "municipality"], _TEXT),
+    "address": (["address", "addr", "street"], None),
+    "postal_code": (["zip", "zipcode", "postal", "postcode", "postalcode"], _TEXT),
     "date": (
-        "date datetime timestamp created updated modified day time on at signup optin dob birthday birthdate contacted connected "
-        "signed joined pledged dispatched opened acquired released expires expiry",
+        [
+            "date", "datetime", "timestamp", "created", "updated", "modified", "day", "time", "on", "at", "signup", "optin", "dob",
+            "birthday", "birthdate", "contacted", "connected", "signed", "joined", "pledged", "dispatched", "opened", "acquired",
+            "released", "expires", "expiry",
+        ],
         frozenset({"date", "numeric"}),
     ),
-    "url": ("url link website site web homepage handle", _TEXT),
-    "identifier": ("id identifier uuid guid key ref reference sku code", frozenset({"identifier", "numeric"})),
-    "gender": ("gender sex", frozenset({"enum"})),
-    "currency": ("currency ccy", frozenset({"enum", "identifier"})),
+    "url": (["url", "link", "website", "site", "web", "homepage", "handle"], _TEXT),
+    "identifier": (["id", "identifier", "uuid", "guid", "key", "ref", "reference", "sku", "code"], frozenset({"identifier", "numeric"})),
+    "gender": (["gender", "sex"], frozenset({"enum"})),
+    "currency": (["currency", "ccy"], frozenset({"enum", "identifier"})),
     "description": (
-        "description desc notes note comment comments summary bio review text details detail remarks about content",
-        frozenset({"free_text", "identifier", "enum"}),
+        [
+            "description", "desc", "notes", "note", "comment", "comments", "summary", "bio", "review", "text", "details", "detail",
+            "remarks", "about", "content",
+        ],
+        _TEXT,
     ),
 }
-ALIASES = {name: frozenset(words.split()) for name, (words, _) in CANONICALS.items()}
+ALIASES = {name: frozenset(words) for name, (words, _) in CANONICALS.items()}
 REFERENCE_WORDS = frozenset({"ref", "reference", "uuid", "guid"})
 #: Embedding matches: least score, least lead over the second, and the length of aliases that are compared.
 LEAST_SCORE, LEAST_LEAD, ALIAS_LENGTH = 0.5, 0.05, 3

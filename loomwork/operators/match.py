@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.columns import key_of, round3
-from loomwork.functions.similarity import reachable, similarity, sorted_words
+from loomwork.functions.similarity import in_common, letter_bits, reachable, similarity, sorted_words
+from loomwork.sources.folders import shared_folder
 
 THRESHOLD, PAIRS, SHOWN = 0.85, 500, 25
 #: Fields shown of a match, in this order, at most four.
@@ -25,28 +27,52 @@ def keyed(df: DataFrame, key: Column, canonical: str, seq: str) -> DataFrame:
     return own.withColumns({"s": sorted_words(F.col("k")), "block": F.substring("k", 1, 1)})
 
 
+#: Keys of either side in a task of the join: hot blocks are cut into a grid of parts of about so many.
+KEYS_A_PART = 4096
+
+
+def near_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows (k, s, block, and whatever else, under a_ and b_) whose similarity could reach the threshold.
+
+    An equi-join on the first character and the length, in steps of the largest ratio of lengths that the threshold allows,
+    so similar keys lie in one step or two next to each other. How many parts a step is cut into follows from its keys.
+    Pairs are dropped by their lengths and by the characters that they can have in common before any is compared; both
+    bounds are exact, so no match is lost.
+    """
+    step = math.log((2.0 - threshold) / threshold) if 0 < threshold < 2 else math.inf
+    at = F.floor(F.log(F.length("k")) / max(step, 1e-6)).cast("long") if step < math.inf else F.lit(0).cast("long")
+    own = lambda df: df.withColumns({"at": at, "bits": letter_bits(F.col("k"))})
+    a, b = own(left), own(right)
+    a = a.withColumn("at", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)))
+    parts = lambda df, out: df.groupBy("block", "at").agg(F.ceil(F.count("*") / F.lit(KEYS_A_PART)).alias(out))
+    grid = parts(a, "_a_parts").join(parts(b, "_b_parts"), ["block", "at"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("k"), F.col(n))
+    named = lambda df, side: df.select("block", "at", "_a", "_b", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in ("block", "at", "_a", "_b", "_a_parts", "_b_parts")])
+    x = named(a.join(grid, ["block", "at"]).withColumn("_a", mine("_a_parts")).withColumn("_b", every("_b_parts")), "a")
+    y = named(b.join(grid, ["block", "at"]).withColumn("_b", mine("_b_parts")).withColumn("_a", every("_a_parts")), "b")
+    la, lb = F.length("a_k"), F.length("b_k")
+    enough = 2.0 * in_common(F.col("a_bits"), F.col("b_bits")) >= F.lit(threshold) * (la + lb) - 1e-9
+    return x.join(y, ["block", "at", "_a", "_b"]).where(reachable(la, lb, threshold) & enough).drop("block", "at", "_a", "_b", "a_bits", "b_bits")
+
+
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) keys with similarity, from (ak, as_, bk, bs)."""
-    return pairs.withColumn("sim", similarity(threshold)("ak", "bk", "as_", "bs")).where(F.col("sim") >= threshold)
+    """The pairs with their similarity, those that reach the threshold."""
+    return pairs.withColumn("sim", similarity(threshold)("a_k", "b_k", "a_s", "b_s")).where(F.col("sim") >= threshold)
 
 
 def best_matches(a: DataFrame, b: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a_seq, b_seq, sim): for each row of a the most similar row of b that starts with the same character.
 
-    Ties go to the first of b. Both sides are reduced to distinct keys first, so copies of a key are compared once; equal
-    keys need no comparison at all; and lengths that can't reach the threshold are dropped before any is made. The join
-    is an equi-join on the character and a salt of b's keys, so that a common character is no single task.
+    Ties go to the first of b. Both sides are reduced to distinct keys first, so copies of a key are compared once, and
+    equal keys need no comparison at all; see ``near_pairs`` for the others.
     """
-    salts = 16
     ak = a.groupBy("k", "s", "block").agg(F.min("seq").alias("first"))
-    bk = b.groupBy("k", "s", "block").agg(F.min("seq").alias("b_seq"))
-    exact = ak.join(bk.select("k", "b_seq"), "k").select("k", "b_seq", F.lit(1.0).alias("sim"))
-    rest = ak.join(bk.select("k"), "k", "left_anti")
-    left = rest.select(F.col("k").alias("ak"), F.col("s").alias("as_"), "block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = bk.select(F.col("k").alias("bk"), F.col("s").alias("bs"), "block", "b_seq", F.pmod(F.hash("k"), F.lit(salts)).alias("salt"))
-    near = left.join(right, (left.block == right.block) & (left.salt == right.salt) & reachable(F.length("ak"), F.length("bk"), threshold))
-    best = _scored(near, threshold).groupBy("ak").agg(F.max(F.struct("sim", (-F.col("b_seq")).alias("n"))).alias("m"))
-    fuzzy = best.select(F.col("ak").alias("k"), (-F.col("m.n")).alias("b_seq"), F.col("m.sim").alias("sim"))
+    bk = b.groupBy("k", "s", "block").agg(F.min("seq").alias("seq"))
+    exact = ak.join(bk.select("k", F.col("seq").alias("b_seq")), "k").select("k", "b_seq", F.lit(1.0).alias("sim"))
+    rest = ak.join(bk.select("k"), "k", "left_anti").drop("first")
+    best = _scored(near_pairs(rest, bk, threshold), threshold).groupBy("a_k").agg(F.max(F.struct("sim", (-F.col("b_seq")).alias("n"))).alias("m"))
+    fuzzy = best.select(F.col("a_k").alias("k"), (-F.col("m.n")).alias("b_seq"), F.col("m.sim").alias("sim"))
     return a.select(F.col("seq").alias("a_seq"), "k").join(exact.unionByName(fuzzy), "k").select("a_seq", "b_seq", "sim")
 
 
@@ -94,12 +120,9 @@ def join_keys(a: DataFrame, b: DataFrame, fields: Sequence[tuple[str, str]]) ->
 
 def similar_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): first rows of different similar keys of one table (seq, k, s, block). Copies of a key stand for one."""
-    salts = 16
-    own = rows.groupBy("k", "s", "block").agg(F.min("seq").alias("first"))
-    left = own.select(F.col("k").alias("ak"), F.col("s").alias("as_"), F.col("first").alias("a"), "block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    right = own.select(F.col("k").alias("bk"), F.col("s").alias("bs"), F.col("first").alias("b"), "block", F.pmod(F.hash("k"), F.lit(salts)).alias("salt"))
-    on = (left.block == right.block) & (left.salt == right.salt) & (left.a < right.b) & reachable(F.length("ak"), F.length("bk"), threshold)
-    return _scored(left.join(right, on), threshold).select("a", "b")
+    own = rows.groupBy("k", "s", "block").agg(F.min("seq").alias("seq"))
+    near = near_pairs(own, own, threshold).where(F.col("a_seq") < F.col("b_seq"))
+    return _scored(near, threshold).select(F.col("a_seq").alias("a"), F.col("b_seq").alias("b"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -166,11 +189,6 @@ def union_rows(tables: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def checkpoint_folder(spark) -> None:
-    """Set a checkpoint folder where the session has none (local runs)."""
+    """Have the session checkpoint to the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="loomwork-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.functions.columns import let
+
 TOP = 8
 WORD = r"[A-Za-z][A-Za-z0-9'\-]{2,}"
 #: Words that are no keywords.
@@ -25,20 +27,28 @@ def pairs(own: Column) -> Column:
     return F.zip_with(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
 
+def counted(items: Column) -> Column:
+    """The different items of a list in order, as a list of {item, n}: the runs of the sorted list."""
+
+    def runs(s: Column) -> Column:
+        first = lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))
+        ends = lambda x: F.concat(F.slice(x, 2, F.size(x)), F.array(F.size(s) + 1))
+        whole = lambda x: F.zip_with(x, ends(x), lambda a, z: F.struct(F.element_at(s, a).alias("item"), (z - a).alias("n")))
+        return F.when(F.size(s) > 0, let(F.filter(F.sequence(F.lit(1), F.size(s)), first), whole))
+
+    return let(F.array_sort(items), runs)
+
+
 def keywords(df: DataFrame, key: str, text: Column, top: int = TOP) -> DataFrame:
-    """(key, keyword, weight, rank): words weigh 1 and pairs 2 each time they stand; ties in order of the text.
+    """(key, keyword, weight, rank): words weigh 1 and pairs 2 each time they stand; equal weights in alphabetical order.
 
-    Words are counted inside each row's own list, so nothing of a text but its weighted keywords is shuffled.
+    Each row is counted by itself, so nothing is shuffled and a text's other words go nowhere; key tells rows apart.
     """
-    w = F.col("_w")
-    one = df.select(F.col(key).alias(key), words(text).alias("_w"))
-    weighed = one.select(
-        key,
-        F.explode(F.concat(F.transform(w, lambda x: F.struct(x.alias("keyword"), F.lit(1).alias("n"))), F.transform(pairs(w), lambda x: F.struct(x.alias("keyword"), F.lit(2).alias("n"))))).alias("_item"),
-    )
-    summed = weighed.groupBy(key, "_item.keyword").agg(F.sum("_item.n").alias("weight"))
-    order = Window.partitionBy(key).orderBy(F.desc("weight"), "keyword")
-    return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    items = let(words(text), lambda w: F.concat(w, pairs(w)))  # only pairs hold a space
+    weight = lambda x: x["n"] * F.when(F.contains(x["item"], F.lit(" ")), 2).otherwise(1)
+    weighed = F.transform(counted(items), lambda x: F.struct((-weight(x)).alias("w"), x["item"].alias("keyword")))
+    out = df.select(F.col(key).alias(key), F.posexplode(F.slice(F.array_sort(weighed), 1, top)).alias("_at", "_x"))
+    return out.select(key, F.col("_x.keyword").alias("keyword"), (-F.col("_x.w")).cast("long").alias("weight"), (F.col("_at") + 1).alias("rank"))
 
 
 def tag_lists(ranked: DataFrame, key: str) -> DataFrame:

@@ -71,21 +71,53 @@ def gated(ranked: DataFrame, least_best: float = 0.15, least: float = 1e-6) -> D
     return ranked.crossJoin(F.broadcast(best)).where((F.col("_best") >= least_best) & (F.col("score") > least)).drop("_best")  # one row
 
 
-def nearest_labels(df: DataFrame, queries: DataFrame, k: int, salts: int = 16) -> DataFrame:
-    """(q, seq, score, rank): the k nearest rows of df (seq, v) for each query (q, v), by blocks of df.
+#: Rows and queries that are compared in one task.
+ROWS_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
 
-    Queries are a stated set that is compared with all rows. df is dealt into blocks, each block meets the queries once
-    and keeps k rows a query, and the blocks' rows are ranked at the end.
+
+def nearest_labels(df: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(q, seq, score, rank): the k nearest rows of df (seq, v) for each query (q, v); equal scores in order of seq.
+
+    Queries are a stated set that is compared with all rows: both are dealt into blocks, as many as their rows ask for, and
+    every two blocks meet in a task, which keeps k rows a query. Vectors of different length don't compare, and nulls
+    nor empty ones. Scores are told apart by twelve digits.
     """
-    left = df.select("seq", "v", F.pmod(F.hash("seq"), F.lit(salts)).alias("b"))
-    right = queries.select("q", F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("b"))
-    pairs = left.join(right, "b").where("seq <> q").select("q", "seq", "b", dot(F.col("v"), F.col("qv")).alias("score"))
-    block = Window.partitionBy("q", "b").orderBy(F.desc("score"), "seq")
-    kept = pairs.withColumn("r", F.row_number().over(block)).where(F.col("r") <= k)
+    import numpy as np
+
+    blocks = lambda x, size: max(1, -(-x.count() // size))
+    rows, columns = blocks(df, ROWS_A_BLOCK), blocks(queries, QUERIES_A_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    filled = lambda x: x.where("v is not null and size(v) > 0").withColumn("v", F.col("v").cast("array<double>"))
+    left = filled(df).select("seq", "v", F.pmod(F.xxhash64("seq"), F.lit(rows)).cast("int").alias("i"), every(columns).alias("j"))
+    right = filled(queries).select("q", "v", every(rows).alias("i"), F.pmod(F.xxhash64("q"), F.lit(columns)).cast("int").alias("j"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n in sorted(set(map(len, b["v"]))):
+            x, y = a[a["v"].map(len) == n], b[b["v"].map(len) == n]
+            if len(x) and len(y):
+                seq, score = x["seq"].to_numpy(), np.round(np.stack(y["v"].to_numpy()) @ np.stack(x["v"].to_numpy()).T, 12)
+                for q, s in zip(y["q"], score):
+                    own = np.flatnonzero(seq != q)
+                    own = own[np.lexsort((seq[own], -s[own]))[:k]] if len(own) <= 4 * k else _best(own, seq, s, k)
+                    out.append(pd.DataFrame({"q": q, "seq": seq[own], "score": s[own]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "seq": [], "score": []})
+
+    kinds = f"q {queries.schema['q'].dataType.simpleString()}, seq {df.schema['seq'].dataType.simpleString()}, score double"
+    kept = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(nearest, kinds)
     whole = Window.partitionBy("q").orderBy(F.desc("score"), "seq")
     return kept.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select("q", "seq", "score", "rank")
 
 
+def _best(own, seq, score, k: int):
+    """The k of ``own`` with the largest scores, equal ones in order of seq."""
+    import numpy as np
+
+    least = np.partition(score[own], len(own) - k)[len(own) - k]
+    near = own[score[own] >= least]
+    return near[np.lexsort((seq[near], -score[near]))[:k]]
+
+
 def precision_mrr(ranked: DataFrame, k: int) -> DataFrame:
     """One row: mean precision at k and mean reciprocal rank, from (q, rank, hit)."""
     per = ranked.groupBy("q").agg((F.sum(F.when(F.col("rank") <= k, F.col("hit").cast("int")).otherwise(0)) / float(k)).alias("p"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))

@@ -86,7 +86,9 @@ O["registry"] = f"WITH {NAMED} SELECT canonical, count(DISTINCT file) AS n_files
 
 O["clean_numeric"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE printf('%.2f', o_totalprice)::DOUBLE END AS amount FROM orders"
 O["clean_bool"] = "SELECT o_orderkey, o_orderstatus IN ('F', 'O') AS flag FROM orders"
-O["clean_date"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'some day' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"
+O["clean_date"] = """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 9 THEN 'some day' WHEN 8 THEN NULL
+ WHEN 5 THEN CASE WHEN day(o_orderdate) <= 12 THEN strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END
+ ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders"""
 
 SLOTS = """s AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 <> 0 THEN '+1-555-' || lpad((c_custkey * 7 + 1)::VARCHAR, 6, '0') END AS phone_home,
  CASE WHEN c_custkey % 2 = 0 THEN '+1-555-' || lpad((c_custkey * 7 + 1)::VARCHAR, 6, '0') WHEN c_custkey % 5 = 0 THEN '+2-555-' || lpad((c_custkey * 7 + 2)::VARCHAR, 6, '0') END AS phone_work,
@@ -111,7 +113,7 @@ O["split_multi"] = """SELECT p_partkey, CASE WHEN split_part(p_name, ' ', 1) = s
 O["dsl_strings"] = """SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) AS second, NULL::VARCHAR AS ninth,
  substring(p_name, 2, 3) AS cut, trim(p_brand, 'B#nd') AS stripped, replace(p_name, ' ', '-') AS swapped, regexp_replace(p_brand, '[0-9]+', 'N', 'g') AS masked,
  nullif(regexp_extract(p_name, '[aeiou]+'), '') AS found, regexp_replace(p_brand, '[^0-9]', '', 'g') AS numbers, length(p_name)::VARCHAR AS size,
- p_brand || '/' || p_type AS joined, 'none' AS filled, p_type AS "any", NULL::VARCHAR AS lost FROM part"""
+ p_brand || '/' || p_type AS joined, 'none' AS filled, p_type AS "any", NULL::VARCHAR AS lost, p_name AS trimmed FROM part"""
 
 
 def shown(x: str) -> str:
@@ -267,7 +269,17 @@ O["accuracy_verdicts"] = """SELECT CASE WHEN length(text) >= 1000 AND quality =
  FROM labels JOIN documents USING (doc_id) GROUP BY ALL"""
 O["conversation_merge"] = """WITH r AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL), a AS (SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM r GROUP BY conv_id),
  b AS (SELECT conv_id, string_agg(length(text)::VARCHAR, ',' ORDER BY turn, length(text)) AS sizes FROM conversations GROUP BY conv_id) SELECT conv_id, roles, sizes FROM a JOIN b USING (conv_id)"""
-O["llm_extraction"] = "SELECT conv_id, turn, NULL::VARCHAR AS mood, NULL::BIGINT AS stars FROM conversations"
+O["sentence_summary"] = """WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)),
+  lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents),
+ u AS (SELECT doc_id, len(l) AS n, i, l[i] AS sentence FROM s, unnest(range(1, len(l) + 1)) t(i)),
+ w AS (SELECT doc_id, n, i, word, count(*) AS c FROM (SELECT doc_id, n, i, unnest(regexp_extract_all(lower(sentence), '[\\p{L}\\p{N}_]{2,}')) AS word FROM u) GROUP BY ALL),
+ k AS (SELECT doc_id, word, count(*) AS k FROM w GROUP BY ALL),
+ v AS (SELECT doc_id, i, word, c * (ln((1 + n) / (1 + k)) + 1) AS v FROM w JOIN k USING (doc_id, word)),
+ x AS (SELECT doc_id, i, word, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id, i)) AS x FROM v),
+ t AS (SELECT doc_id, word, sum(x) AS t FROM x GROUP BY ALL),
+ r AS (SELECT doc_id, i, sum(x * t) AS score FROM x JOIN t USING (doc_id, word) GROUP BY ALL),
+ b AS (SELECT u.doc_id, arg_min(sentence, (-round(coalesce(score, 0), 9), u.i)) AS summary FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.i GROUP BY u.doc_id)
+ SELECT doc_id, summary FROM documents LEFT JOIN b USING (doc_id)"""
 O["bulk_ndjson"] = """SELECT '{"index":{"_index":"col_nation","_id":"' || n_nationkey || '"}}' || chr(10) || '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation"""
 O["display_names"] = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 2 = 0 THEN 'Ann Lee' ELSE 'Lee' END AS name FROM customer"
 O["flagship"] = """WITH e AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderstatus) AS s FROM orders GROUP BY o_custkey)

@@ -188,7 +188,7 @@ class Collection:
     def blob(self) -> Column:
         return F.concat_ws(" ", *[self.text(c) for c in self.schema()])
 
-    def search(
+    def matching(
         self,
         query: str = "",
         where: Sequence[tuple[str, str]] = (),
@@ -197,19 +197,35 @@ class Collection:
         ring: Sequence[tuple[float, float]] | None = None,
         geo_field: str = "location",
         vector: Sequence[float] | None = None,
-        page: int = 1,
-        size: int = 30,
+        tag: str | None = None,
     ) -> DataFrame:
-        """A page of entities: filters first, then keyword search, or the order of a query vector (column ``_vector``)."""
-        df = self.entities()
+        """All entities that a search finds: filters and the tag first, then all terms of the query, or those that have a
+        vector (with their score) where a query vector is given."""
+        df = self.tagged() if tag else self.entities()
         keep = self.where(where)
+        if tag:
+            keep = keep & tags.with_tag(F.col("_tags"), tag)
         if sources:
             keep = keep & F.arrays_overlap("_source_file", F.array(*[F.lit(short_name(s)) for s in sources]))
         if box or ring:
             keep = keep & (F.coalesce(geo.matches(self.plain(geo_field), box, ring), F.lit(False)) if geo_field in df.columns else F.lit(False))
         if vector is not None and "_vector" in df.columns:
-            return facets.page(vectors.scored(df.where(keep), F.col("_vector"), vector), [F.desc("score"), "_first"], page, size)
-        return facets.page(df.where(keep & filters.all_terms(self.blob(), query)), ["_first"], page, size)
+            return vectors.scored(df.where(keep), F.col("_vector"), vector)
+        return df.where(keep & filters.all_terms(self.blob(), query))
+
+    def search(self, query: str = "", page: int = 1, size: int = 30, **tests) -> DataFrame:
+        """A page of ``matching``: by score where there is one, else in the order of arrival."""
+        found = self.matching(query, **tests)
+        return facets.page(found, [F.desc("score"), "_first"] if "score" in found.columns else ["_first"], page, size)
+
+    def total(self, query: str = "", **tests) -> DataFrame:
+        """One row: the hits of a search before paging."""
+        return self.matching(query, **tests).agg(F.count("*").alias("total"))
+
+    def tagged(self) -> DataFrame:
+        """``entities`` with their tags, ``_tags``."""
+        lists = tags.tag_lists(self.keywords(), "_first").withColumnRenamed("tags", "_tags")
+        return self.entities().join(lists, "_first", "left")
 
     def keywords(self) -> DataFrame:
         fields = [c for c, s in self.schema().items() if s["os_type"] == "text"]
@@ -219,6 +235,21 @@ class Collection:
         """One row: raw records, entities, merged."""
         return entities.counters(self.merged())
 
+    def roll_up(self) -> list[tuple[str, str, str, int, bool]]:
+        """(field, type, cardinality, number of files, whether their types differ): fields of most files first, then by name."""
+        rows = [(c, s["os_type"], s["cardinality"], len(s["sources"]), s["conflict"]) for c, s in self.schema().items()]
+        return sorted(rows, key=lambda r: (-r[3], r[0]))
+
+    def progress(self) -> DataFrame:
+        """One row: the distinct texts that extraction asks about, and those that gave a value for any attribute."""
+        done = self.entities()
+        text = [self.text(c) for c in self.text_fields()]
+        own = done.where(F.trim(F.concat_ws(" ", *text)) != "").select(F.concat_ws(" ", *text).alias("t"), *[a.name for a in self.attributes])
+        answered = F.lit(False)
+        for a in self.attributes:
+            answered = answered | F.col(a.name).isNotNull()
+        return own.agg(F.count_distinct("t").alias("total"), F.count_distinct(F.when(answered, F.col("t"))).alias("done"))
+
     def conflicts(self) -> DataFrame:
         return entities.conflicts(self.merged(), self._fields()[0])
 
@@ -238,8 +269,7 @@ class Collection:
 
     def reindex(self) -> int:
         """Write the entities with their tags as the collection's table; its rows."""
-        lists = tags.tag_lists(self.keywords(), "_first").withColumnRenamed("tags", "_tags")
-        return sinks.write_index(self.entities().join(lists, "_first", "left"), self.index_name())
+        return sinks.write_index(self.tagged(), self.index_name())
 
     def spec(self) -> dict:
         """What to save: everything but the data and the model client."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -85,13 +86,36 @@ class Dataset:
         c = F.transform(c, lambda x: x["value"]) if s.tagged else c
         return filters.matches(c, value, filter_kind(s.os_type), s.cardinality == "array")
 
-    def search(self, query: str = "", where: Sequence[tuple[str, str]] = (), page: int = 1, size: int = 12) -> DataFrame:
+    def matching(self, query: str = "", where: Sequence[tuple[str, str]] = (), mode: str = "all", tag: tuple[str, str] | None = None) -> DataFrame:
+        """All documents that a search finds. The whole query is a part of the document's text, or with mode ``keyword``
+        of its extracted keywords; tag: a text field and one of its keywords."""
         docs = self.documents()
-        texts = [F.to_json(c) if t.startswith("array") else c.cast("string") for c, t in ((F.col(f"`{n}`"), t) for n, t in docs.dtypes if n not in self.order)]
-        keep = F.contains(F.lower(F.concat_ws(" ", *texts)), F.lit(query.strip().lower())) if query.strip() else F.lit(True)
+        if mode == "keyword" and query.strip():
+            found = self.keywords().groupBy("_seq").agg(F.array_join(F.sort_array(F.collect_list("keyword")), " ").alias("_blob"))
+            docs = docs.withColumn("_seq", F.struct(*self.order)).join(found, "_seq", "left").drop("_seq")
+            keep = F.contains(F.coalesce("_blob", F.lit("")), F.lit(query.strip().lower()))
+        else:
+            texts = [F.to_json(c) if t.startswith("array") else c.cast("string") for c, t in ((F.col(f"`{n}`"), t) for n, t in docs.dtypes if n not in self.order)]
+            keep = F.contains(F.lower(F.concat_ws(" ", *texts)), F.lit(query.strip().lower())) if query.strip() else F.lit(True)
         for field, value in where:
             keep = keep & self.test(field, value)
-        return facets.page(docs.where(keep), self.order, page, size)
+        found = docs.where(keep).drop("_blob")
+        if tag:
+            tagged = self.keywords(tag[0]).where(F.col("keyword") == tag[1]).select("_seq")
+            found = found.withColumn("_seq", F.struct(*self.order)).join(tagged, "_seq", "left_semi").drop("_seq")
+        return found
+
+    def search(self, query: str = "", where: Sequence[tuple[str, str]] = (), page: int = 1, size: int = 12, **more) -> DataFrame:
+        """A page of ``matching`` in row order."""
+        return facets.page(self.matching(query, where, **more), self.order, page, size)
+
+    def total(self, query: str = "", where: Sequence[tuple[str, str]] = (), **more) -> DataFrame:
+        """One row: the hits of a search before paging."""
+        return self.matching(query, where, **more).agg(F.count("*").alias("total"))
+
+    def kind_counts(self) -> dict[str, int]:
+        """How many columns have each kind."""
+        return dict(Counter(p.kind for p in self.profiles))
 
     def query_json(self, query: str = "", where: Sequence[tuple[str, str]] = (), size: int = 12) -> str:
         fields = [s.canonical for s in self.shapes if s.os_type in ("keyword", "text")]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,13 +105,13 @@ def clean_bool(spark, d):
 
 
 def clean_date(spark, d):
-    t, k = F.col("o_orderdate"), F.col("o_orderkey")
-    raw = (
-        F.when(k % 4 == 0, F.date_format(t, "MM/dd/yyyy"))
-        .when(k % 4 == 1, F.concat(F.date_format(t, "yyyy-MM-dd"), F.lit("T10:00:00Z")))
-        .when(k % 4 == 2, F.date_format(t, "yyyy/MM/dd"))
-        .otherwise(F.lit(" some day "))
-    )
+    """Each known form of a date, a day before the month where that can't be told from a month, blanks and other text."""
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 10
+    forms = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "M/d/yyyy", "MMM d, yyyy", "d/M/yyyy", "MMM d yyyy", "dd-MM-yyyy"]
+    raw = F.when(k == 8, " ").when(k == 9, " some day ")
+    for i, form in enumerate(forms):
+        text = F.date_format(t, form)
+        raw = raw.when(k == i, F.concat(text, F.lit("T10:00:00Z")) if i == 0 else F.concat(F.lit(" "), text))
     return table(spark, d, "orders").select("o_orderkey", columns.cleaned(raw, "date").alias("day"))
 
 
@@ -161,7 +159,7 @@ def split_multi(spark, d):
 
 
 def dsl_strings(spark, d):
-    df = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.lit("  ").alias("blank"))
+    df = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.lit("  ").alias("blank"), F.concat(F.lit(" \t"), "p_name", F.lit(" ")).alias("padded"))
     own = {
         "up": "upper(p_name)",
         "low": "lower(p_brand)",
@@ -179,6 +177,7 @@ def dsl_strings(spark, d):
         "filled": 'default(blank, "none")',
         "any": "coalesce(blank, nowhere, p_type)",
         "lost": "replace(p_name)",
+        "trimmed": "trim(padded)",
     }
     return dsl.transformed(df, own).select("p_partkey", *own)
 
@@ -278,11 +277,6 @@ def geo_points(spark, d):
     return facets.points(own, F.col("place"), [F.col("n_name")], "n_nationkey")
 
 
-def dsl_render(spark, d):
-    body = filters.query_json("open plan", [("amount", ">150"), ("city", "Boston"), ("age", "10-20")], ["name", "notes"], ("_tags", "garden"), ("_source_file", "a"), 12)
-    return spark.createDataFrame([(body,)], "query string")
-
-
 def norm_key(spark, d):
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("id"),
@@ -452,10 +446,6 @@ def partition_verdict(spark, d):
     return out
 
 
-def bin_pack(spark, d):
-    return partitions.balance(partitions.buckets(table(spark, d, "customer"), "c_nationkey"))
-
-
 def page_offset(spark, d):
     return facets.page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 3, 25)
 
@@ -541,12 +531,6 @@ def sentence_summary(spark, d):
     return extract.summary(table(spark, d, "documents"), "doc_id", "text")
 
 
-def llm_extraction(spark, d):
-    """The default client answers nothing, so both attributes are null; one call for each distinct text."""
-    own = [extract.Attribute("mood"), extract.Attribute("stars", "long")]
-    return extract.extract(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text", own).select("conv_id", "turn", "mood", "stars")
-
-
 def bulk_ndjson(spark, d):
     return sinks.bulk_lines(table(spark, d, "nation"), "col_nation", F.col("n_nationkey"))
 
@@ -555,17 +539,6 @@ def _customer_shapes(spark, d):
     return shapes.plan(_slots(spark, d), [*[(c, "identifier", "phone") for c in PHONES], *[(c, "enum", "interests") for c in INTERESTS], ("country", "enum", "country"), ("cntry", "enum", "country")])
 
 
-def json_schema(spark, d):
-    own = _customer_shapes(spark, d)
-    lists = frozenset(s.canonical for s in own if s.cardinality == "array")
-    return spark.createDataFrame([(json.dumps(sinks.json_schema(sinks.mapping(own), lists, "customer")),)], "schema string")
-
-
-def shape_plan(spark, d):
-    rows = [(s.canonical, s.cardinality, s.style, s.kind, ";".join(s.sources), round(s.shared, 3)) for s in _customer_shapes(spark, d)]
-    return spark.createDataFrame(rows, "canonical string, cardinality string, style string, kind string, sources string, shared double")
-
-
 def display_names(spark, d):
     c = F.col("c_custkey")
     full, first, last = F.when(c % 3 == 0, F.col("c_name")), F.when(c % 2 == 0, F.lit(" Ann ")), F.lit("Lee")
@@ -590,11 +563,11 @@ QUERIES = {
         flagship, profile_columns, classify_columns, fill_rate, quality_counts, voted_types, type_fit, canonical_names, merge_groups, registry,
         clean_numeric, clean_bool, clean_date, cooccupancy, consolidate_scalar, consolidate_positional, consolidate_tagged, split_multi,
         dsl_strings, dsl_numbers, dsl_logic, filter_cmp, filter_range, filter_text_numbers, filter_date, filter_exact, filter_any_member, keyword_all_terms,
-        keyword_tf, geo_parse_bbox, geo_polygon, geo_points, dsl_render, norm_key, entity_merge, entity_conflicts, entity_counters,
+        keyword_tf, geo_parse_bbox, geo_polygon, geo_points, norm_key, entity_merge, entity_conflicts, entity_counters,
         entity_sources, tagged_merge, exact_dup_docs, enrich_left, enrich_fill_only, enrich_chain, join_key_candidates, fuzzy_match,
         match_report, link_clusters, facet_counts, facet_low_card, facet_most_common, doc_tags, top_tags, tag_filter, segment_counts,
-        field_counts, skew_metrics, partition_verdict, bin_pack, page_offset, vector_topk, semantic_filtered, semantic_gated, hybrid_rrf,
-        cosine_pairs, union_files, json_props, precision_mrr, accuracy_verdicts, conversation_merge, sentence_summary, llm_extraction,
-        bulk_ndjson, json_schema, shape_plan, display_names,
+        field_counts, skew_metrics, partition_verdict, page_offset, vector_topk, semantic_filtered, semantic_gated, hybrid_rrf,
+        cosine_pairs, union_files, json_props, precision_mrr, accuracy_verdicts, conversation_merge, sentence_summary, 
+        bulk_ndjson, display_names,
     )
 }

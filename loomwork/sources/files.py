@@ -28,14 +28,17 @@ def sniff_file(spark: SparkSession, path: str) -> str:
     return sniff(first[0]["value"]) if first else ","
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A CSV file with a header; cells keep their text, blank ones are null, and ``_row`` orders the rows."""
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header; cells keep their text, blank ones are null, and ``_row`` orders the rows.
+
+    With multi_line cells may hold line feeds, and a file is one task; without it large files are split.
+    """
     df = (
         spark.read.option("header", True)
         .option("sep", delimiter or sniff_file(spark, path))
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("inferSchema", False)
         .option("mode", "PERMISSIVE")
         .csv(path)

@@ -12,10 +12,29 @@ from pyspark.sql import functions as F
 
 from loomwork.operators.shapes import Shape
 
-#: Index types as JSON Schema types; all others are strings.
-JSON_TYPES = {
-    "text": "string", "keyword": "string", "double": "number", "float": "number", "long": "integer", "integer": "integer", "boolean": "boolean",
-}
+def _vector(own: dict) -> dict:
+    n = own.get("dimension")
+    numbers = {"type": "array", "items": {"type": "number"}}
+    return numbers if n is None else {**numbers, "minItems": n, "maxItems": n, "description": f"{n}-dim embedding vector"}
+
+
+#: How an index type is written in JSON Schema: the names are fixed values, and types that aren't here are strings.
+SCHEMAS = {
+    **{t: lambda own: {"type": "number"} for t in ("double", "float")},
+    **{t: lambda own: {"type": "integer"} for t in ("long", "integer")},
+    "boolean": lambda own: {"type": "boolean"},
+    "date": lambda own: {"type": "string", "format": "date"},
+    "knn_vector": _vector,
+}
+
+
+def _schema(own: dict) -> dict:
+    """The JSON Schema of one entry of a mapping; an entry without a type is an object of its properties."""
+    if "type" not in own and (inner := own.get("properties")) is not None:
+        return {"type": "object", "properties": dict(zip(inner, map(_schema, inner.values())))}
+    return SCHEMAS.get(own.get("type"), lambda _: {"type": "string"})(own)
+
+
 TAG = {"type": "keyword"}
 
 
@@ -43,29 +62,11 @@ def collection_mapping(fields: Mapping[str, tuple[str, str]]) -> dict:
 
 
 def json_schema(found: dict, lists: frozenset[str], title: str) -> dict:
-    """JSON Schema 2020-12 of a mapping."""
-
-    def field(d: dict) -> dict:
-        kind = d.get("type")
-        if "properties" in d and kind is None:
-            return {"type": "object", "properties": {k: field(v) for k, v in d["properties"].items()}}
-        if kind == "knn_vector":
-            n = d.get("dimension")
-            size = {} if n is None else {"minItems": n, "maxItems": n, "description": f"{n}-dim embedding vector"}
-            return {"type": "array", "items": {"type": "number"}} | size
-        if kind == "date":
-            return {"type": "string", "format": "date"}
-        return {"type": JSON_TYPES.get(kind, "string")}
-
-    own = {k: field(v) for k, v in found.get("mappings", {}).get("properties", {}).items()}
-    own = {k: {"type": "array", "items": v} if k in lists else v for k, v in own.items()}
-    return {
-        "$schema": "https://json-schema.org/draft/2020-12/schema",
-        "title": title,
-        "type": "object",
-        "properties": own,
-        "additionalProperties": False,
-    }
+    """JSON Schema 2020-12 of a mapping; fields in ``lists`` are arrays of their type."""
+    listed = {True: lambda s: {"type": "array", "items": s}, False: lambda s: s}
+    fields = found.get("mappings", {}).get("properties", {})
+    shape = {"type": "object", "properties": {name: listed[name in lists](_schema(own)) for name, own in fields.items()}, "additionalProperties": False}
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": title, **shape}
 
 
 def vector_mapping(field: str, dimension: int) -> dict:
@@ -74,9 +75,11 @@ def vector_mapping(field: str, dimension: int) -> dict:
     return {field: {"type": "knn_vector", "dimension": dimension, "method": method}}
 
 
-def write_index(df: DataFrame, name: str) -> int:
-    """The table in place of an index of that name, replaced as a whole; its rows."""
-    df.write.mode("overwrite").saveAsTable(name)
+def write_index(df: DataFrame, name: str, path: str | None = None) -> int:
+    """The table in place of an index of that name, replaced as a whole; its rows. path: where its files go, if not into
+    the warehouse."""
+    out = df.write.mode("overwrite")
+    (out if path is None else out.option("path", path)).saveAsTable(name)
     return df.sparkSession.table(name).count()
 
 
