@@ -30,17 +30,25 @@ def arrow_rows(spark: SparkSession, rows: int):
             spark.conf.set(key, before)
 
 
-def stage(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation."""
+def stage(df: DataFrame, tag: str, rows: int | None = None, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, so a lost executor costs no recomputation.
+
+    Tables of hashes and numbers are staged with the codec PLAIN: they hardly shrink, and a codec's buffers lie outside
+    the heap, where many small files add up.
+    """
     spark = df.sparkSession
     path = new_folder(spark, tag)
     with arrow_rows(spark, rows) if rows else contextlib.nullcontext():
-        df.write.option("compression", "zstd").parquet(path)  # snappy would hold memory outside the heap
+        df.write.option("compression", codec).parquet(path)  # snappy would hold still more memory outside the heap
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
+#: The codec of tables of hashes and numbers.
+PLAIN = "uncompressed"
+
+
 def discard(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
     path = getattr(df, "staged_path", None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import discard, stage
+from loomwork.llm.common import PLAIN, discard, stage
 
 
 class Joined:
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-loops and rows with a null end are ignored; an empty table gives an empty result.
     """
     e = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges", codec=PLAIN
     )
     seen = None
     for _ in range(max_rounds):
@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("hi <> lo")
             .distinct()
         )
-        after = stage(small, "edges")
+        after = stage(small, "edges", codec=PLAIN)
         discard(e)
         e = after
         now = tuple(e.agg(F.count("*"), F.sum(F.expr("xxhash64(hi, lo) % 1000003")), F.sum(F.expr("hash(lo, hi) % 1000033"))).first())

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, discard, restored, shielded, stage
+from loomwork.llm.common import NARROW_ROWS, PLAIN, TEXT_ROWS, discard, restored, shielded, stage
 from loomwork.llm.components import Joined, connected_components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
@@ -143,7 +143,7 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
             )
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
-    return stage(rows.mapInArrow(run, "doc long, line int, h long, bands array<long>"), "lines", TEXT_ROWS)
+    return stage(rows.mapInArrow(run, "doc long, line int, h long, bands array<long>"), "lines", TEXT_ROWS, PLAIN)
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -349,7 +349,7 @@ def _searched(dealt: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): the links inside the groups of dealt (key, i, j, side, h); own has the lines' texts."""
     order = ["key", "i", "j"]
     ready = dealt.join(own, "h").select(*order, "side", "h", "text").repartition(*order).sortWithinPartitions(*order)
-    return stage(ready.mapInArrow(_search_groups, "a long, b long"), "searched", 500)
+    return stage(ready.mapInArrow(_search_groups, "a long, b long"), "searched", 500, PLAIN)
 
 
 def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block: int) -> DataFrame:
@@ -360,7 +360,7 @@ def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block
     then outside their band's largest component are held against the whole band, in a grid of blocks.
     """
     zero, blocks = F.lit(0).cast("long"), lambda n: F.ceil(n / F.lit(block)).cast("long")
-    cut = stage(huge.withColumns({"i": F.pmod(F.xxhash64("h"), blocks(F.col("n"))), "blocks": blocks(F.col("n"))}), "cut")
+    cut = stage(huge.withColumns({"i": F.pmod(F.xxhash64("h"), blocks(F.col("n"))), "blocks": blocks(F.col("n"))}), "cut", codec=PLAIN)
     some = cut.groupBy("key", "blocks").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("h", "key"), F.col("n")) < 8 * SHARED, F.col("h")))), 1, SHARED).alias("hs"))
     some = some.select("key", "blocks", F.explode("hs").alias("h"))
     some = some.select("key", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i"), "h")
@@ -371,10 +371,10 @@ def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block
     ends = lambda e, c: e.join(lines.select(F.col("h").alias(c)), c, "left_semi")
     roots = connected_components(inside.unionByName(ends(ends(known, "a"), "b")))
     placed = cut.join(roots, cut.h == roots.node, "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
-    placed = stage(placed, "placed")
+    placed = stage(placed, "placed", codec=PLAIN)
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-    rest = stage(placed.join(largest, "key").where("root <> largest").select("key", "h"), "rest")
+    rest = stage(placed.join(largest, "key").where("root <> largest").select("key", "h"), "rest", codec=PLAIN)
     parts = rest.groupBy("key").agg(blocks(F.count("*")).alias("rows"))
     if parts.isEmpty():
         return inside
@@ -389,11 +389,11 @@ def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block
 def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> DataFrame:
     """(a, b) hashes of different lines that are similar; enough of them to connect all that are connected."""
     keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")  # one number to sort by
-    found = stage(keyed.mapInArrow(_candidates, "a long, b long, key long"), "candidates", NARROW_ROWS)
+    found = stage(keyed.mapInArrow(_candidates, "a long, b long, key long"), "candidates", NARROW_ROWS, PLAIN)
     pairs = found.where("b is not null").select("a", "b").distinct()
     large = found.where("b is null").select("key", F.col("a").alias("h")).distinct()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(large.select("h")).distinct()
-    wanted = stage(wanted, "wanted")
+    wanted = stage(wanted, "wanted", codec=PLAIN)
     with_text = stage(texts_of(docs, text, bitmap(wanted)).join(wanted, "h", "left_semi"), "texts", TEXT_ROWS)
     own = stage(with_text.groupBy("h").agg(F.min("text").alias("text")), "texts")
     discard(with_text)
@@ -425,13 +425,13 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
 
     left = pairs.join(own.select(F.col("h").alias("a"), F.col("text").alias("s")), "a")
     both = left.join(own.select(F.col("h").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t").sortWithinPartitions("b")
-    verified = stage(both.mapInArrow(verify, "a long, b long"), "similar", 2000)
+    verified = stage(both.mapInArrow(verify, "a long, b long"), "similar", 2000, PLAIN)
 
     counts = large.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     long, none = F.lit(0).cast("long"), F.lit(None).cast("int")
     if counts.isEmpty():
         return verified.unionByName(_searched(large.select("key", long.alias("i"), long.alias("j"), none.alias("side"), "h"), own))
-    counts = stage(counts, "counts")
+    counts = stage(counts, "counts", codec=PLAIN)
     usual = large.join(counts, "key", "left_anti").select("key", long.alias("i"), long.alias("j"), none.alias("side"), "h")
     found = verified.unionByName(_searched(usual, own))
     return found.unionByName(_searched_in_blocks(large.join(counts, "key"), own, found, block))
@@ -445,7 +445,7 @@ def line_components(docs: DataFrame, text: str = "text", block: int = BLOCK) ->
     doc_ids count as one id before all others. A line's 64-bit hash stands for the line.
     """
     raw = lines_of(docs, text)
-    lines = stage(raw.select("doc", "line", "h"), "lines")
+    lines = stage(raw.select("doc", "line", "h"), "lines", codec=PLAIN)
     roots = connected_components(links(docs, raw, text, block))
     discard(raw)
     firsts = lines.groupBy("h").agg(F.min(F.struct("doc", "line")).alias("first"))

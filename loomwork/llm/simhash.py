@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.common import NARROW_ROWS, TEXT_ROWS, hex64, restored, stage
+from loomwork.llm.common import NARROW_ROWS, PLAIN, TEXT_ROWS, hex64, restored, stage
 from loomwork.llm.components import connected_components, spanning_forest
 
 WORDS = 4
@@ -238,6 +238,7 @@ def links(fps: DataFrame, block_rows: int = BLOCK) -> DataFrame:
         dealt.sortWithinPartitions("anchor", "fp").mapInArrow(_compare(block_rows), "a long, b long, anchor long, block int"),
         "links",
         NARROW_ROWS,
+        PLAIN,
     )
     inside = found.where("anchor is null").select("a", "b")
     over = found.where("anchor is not null")
@@ -252,7 +253,7 @@ def links(fps: DataFrame, block_rows: int = BLOCK) -> DataFrame:
 
 def _rooted(own: DataFrame, block_rows: int) -> DataFrame:
     """(fp, first, root) of the distinct fingerprints of own (doc_id, fp): the least doc_id, and the component."""
-    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = stage(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct", codec=PLAIN)
     roots = connected_components(links(distinct, block_rows))
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", block_rows: int = BLOCK
     copies share a fingerprint and so a component; a null doc_id is kept and never names a component unless
     its component has no other. An empty table gives an empty result.
     """
-    own = stage(fingerprints(docs, text), "fingerprints", TEXT_ROWS)
+    own = stage(fingerprints(docs, text), "fingerprints", TEXT_ROWS, PLAIN)
     grouped = _rooted(own, block_rows)
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
@@ -289,10 +290,10 @@ def keep_one(docs: DataFrame, text: str = "text", block_rows: int = BLOCK) -> Da
     Null and empty texts are near-duplicates of each other. An empty table gives an empty result.
     """
     key = row_key(docs)
-    own = stage(fingerprints(docs, text, key).where("doc_id is not null"), "fingerprints", TEXT_ROWS)
+    own = stage(fingerprints(docs, text, key).where("doc_id is not null"), "fingerprints", TEXT_ROWS, PLAIN)
     rows = own.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
     chosen = rows.join(_rooted(own, block_rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("x"))
-    heads = stage(chosen.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"), F.col("x.n").alias("_n")), "heads")
+    heads = stage(chosen.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"), F.col("x.n").alias("_n")), "heads", codec=PLAIN)
 
     shown = docs.select(*[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), key.alias("_key"))
     found = shown.join(heads.where("_n = 1"), ["_id", "_key"], "left_semi").unionByName(shown.where("_id is null"))
