@@ -292,7 +292,8 @@ def keep_one(docs: DataFrame, text: str = "text", block_rows: int = BLOCK) -> Da
     key = row_key(docs)
     own = stage(fingerprints(docs, text, key).where("doc_id is not null"), "fingerprints", TEXT_ROWS, PLAIN)
     rows = own.groupBy("fp", "doc_id", "key").agg(F.count("*").alias("n"))
-    chosen = rows.join(_rooted(own, block_rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "key", "n")).alias("x"))
+    firsts = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "key", "n")).alias("x"))  # a row for each fingerprint, however hot
+    chosen = firsts.join(_rooted(own, block_rows).select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
     heads = stage(chosen.select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"), F.col("x.n").alias("_n")), "heads", codec=PLAIN)
 
     shown = docs.select(*[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)], F.col("doc_id").cast("long").alias("_id"), key.alias("_key"))
