@@ -20,6 +20,8 @@ from loomwork.llm.files import Output, reader
 #: The training sample's bound: so many documents a language, so many characters of each.
 DOCS_PER_LANGUAGE = 48
 CHARS_PER_DOC = 2048
+#: Up to so many languages their counts go to every task, so that a frequent language's rows are thinned where they are.
+FEW = 100_000
 #: Encoders in memory at a time (about 1 MB each), and the bytes of text that are held against one group after the other.
 AT_ONCE, HELD_BYTES = 256, 1 << 24
 #: A prediction is rejected if the best encoding is not smaller than the second best by this share of it.
@@ -52,7 +54,9 @@ def write_dictionaries(docs: DataFrame, folder: str, text: str = "text") -> list
     labelled row gives no language.
     """
     own = docs.where("lang is not null and doc_id is not null").where(~held_out()).select(F.col("lang").cast("string").alias("lang"), "doc_id", F.substring(text, 1, CHARS_PER_DOC).alias("_text"))
-    counts = own.groupBy("lang").agg(F.count("*").alias("_count"))
+    counts = stage(own.groupBy("lang").agg(F.count("*").alias("_count")), "counts")
+    if counts.count() <= FEW:
+        counts = F.broadcast(counts)
     scale = 1_000_000_000
     share = F.least(F.lit(scale), F.floor(F.lit(scale * 4 * DOCS_PER_LANGUAGE) / F.col("_count")) + 1)
     key = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
