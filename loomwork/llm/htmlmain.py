@@ -23,6 +23,9 @@ from loomwork.llm.dom import Node, parse
 #: Labelled pages to train on: a fixed number.
 PAGES = 600
 SMOOTH = 0.5
+#: Elements of one kind say much the same: beyond so many of a tag under one parent, their potentials and those of all below
+#: them are scaled down to what so many would say together.
+CROWD = 4
 #: Words in classes, ids and roles, by what they tell.
 HINTS = {
     "ad": "ad ads adv advert advertisement advertising banner sponsor sponsored promo promoted promotion doubleclick",
@@ -70,13 +73,17 @@ class Model:
         """The probability that each element is main text, by sum-product on the tree."""
         none = (0.0, 0.0)
         own = []
-        for node in nodes:
+        crowd = Counter((node.parent, node.tag) for node in nodes)
+        shares: list[float] = []
+        for k, node in enumerate(nodes):
             a = b = 0.0
             for f in features(node):
                 x, y = self.feature.get(f, none)
                 a += x
                 b += y
-            own.append([a, b])
+            share = min(1.0, CROWD / crowd[node.parent, node.tag]) * (shares[node.parent] if k else 1.0)
+            shares.append(share)
+            own.append([a * share, b * share])
         own[0][0] += self.root[0]
         own[0][1] += self.root[1]
         up = [list(x) for x in own]  # own potential times the messages of the children

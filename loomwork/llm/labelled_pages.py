@@ -64,7 +64,7 @@ class _Writer:
         if kind == "comments":
             items = "".join(
                 r.choice(["<li>{}</li>", "<div class=\"comment\"><p>{}</p></div>", "<p>{}</p>", "<article class=\"comment\"><p>{}</p></article>"]).format(self.prose())
-                for _ in range(r.randint(1, 5))
+                for _ in range(r.choice([1, 2, 3, 4, 5, 5, 30]))
             )
             tag = r.choice(["div", "section", "ol"])
             return f"<{tag} {r.choice(['class', 'id'])}=\"{r.choice(['comments', 'comment-list', 'comments-area', 'replies', 'disqus_thread', 'user-comments'])}\"{label}>{items}</{tag}>"
@@ -78,6 +78,10 @@ class _Writer:
             return f"<{tag}{self.name('footer', 'site-footer') if tag == 'div' else ''}{label}>{inner}</{tag}>"
         return f"<div{label}>{self.link()} | {self.link()}</div>"
 
+    def terse(self) -> str:
+        """A line of a dialogue, a poem or a list of remarks."""
+        return f"<p>{self.sentence(1, 4)}</p>"
+
     def block(self) -> str:
         r = self.r
         kind = r.choice(["p"] * 12 + ["h2", "h2", "h3", "ul", "ol", "quote", "table", "pre", "figure", "open", "div", "dl"])
@@ -105,6 +109,8 @@ class _Writer:
         r = self.r
         title = f"<h1>{self.sentence(2, 12)}</h1>"
         blocks = [self.block() for _ in range(r.choice([1, 2, 4, 8, 14]))]
+        if r.random() < 0.15:
+            blocks += [self.terse() for _ in range(r.choice([5, 15, 40]))]
         if r.random() < 0.3:
             blocks.insert(r.randrange(len(blocks) + 1), self.boilerplate())
         body = (title if r.random() < 0.9 else "") + "".join(blocks)

@@ -152,3 +152,14 @@ def test_text_of_held_out_pages(model):
         same, both = same + (got == want), both + (a & b).total()
         got_words, want_words = got_words + a.total(), want_words + b.total()
     assert both / got_words > 0.97 and both / want_words > 0.97 and same > 0.6 * 150
+
+
+@pytest.mark.parametrize("n", [5, 60, 2000])
+def test_long_articles_and_long_comments(model, n):
+    """An article of many short paragraphs stays whole, and many comments or asides of good prose stay out."""
+    article = "<h1>The head of it</h1>" + "".join(f"<p>Line {k}.</p>" for k in range(n))
+    want = "\n".join(["The head of it", *(f"Line {k}." for k in range(n))])
+    prose = "<p>Some thoughts of a reader who has much to say. And they say it here, at length!</p>"
+    for extra in (f"<section id=comments>{prose * n}</section>", f"<aside>{prose * n}</aside>", f"<footer>{prose * n}</footer>",
+                  f"<div class=comments>{('<div class=comment>' + prose + '</div>') * n}</div>", f"<ol id=replies>{('<li>' + prose + '</li>') * n}</ol>"):
+        assert htmlmain.main_text(f"<html><body><article>{article}</article>{extra}</body></html>", model) == want
