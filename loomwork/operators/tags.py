@@ -36,7 +36,7 @@ def counted(items: Column) -> Column:
         whole = lambda x: F.zip_with(x, ends(x), lambda a, z: F.struct(F.element_at(s, a).alias("item"), (z - a).alias("n")))
         return F.when(F.size(s) > 0, let(F.filter(F.sequence(F.lit(1), F.size(s)), first), whole))
 
-    return let(F.array_sort(items), runs)
+    return let(F.sort_array(items), runs)
 
 
 def keywords(df: DataFrame, key: str, text: Column, top: int = TOP) -> DataFrame:
@@ -47,7 +47,7 @@ def keywords(df: DataFrame, key: str, text: Column, top: int = TOP) -> DataFrame
     items = let(words(text), lambda w: F.concat(w, pairs(w)))  # only pairs hold a space
     weight = lambda x: x["n"] * F.when(F.contains(x["item"], F.lit(" ")), 2).otherwise(1)
     weighed = F.transform(counted(items), lambda x: F.struct((-weight(x)).alias("w"), x["item"].alias("keyword")))
-    out = df.select(F.col(key).alias(key), F.posexplode(F.slice(F.array_sort(weighed), 1, top)).alias("_at", "_x"))
+    out = df.select(F.col(key).alias(key), F.posexplode(F.slice(F.sort_array(weighed), 1, top)).alias("_at", "_x"))
     return out.select(key, F.col("_x.keyword").alias("keyword"), (-F.col("_x.w")).cast("long").alias("weight"), (F.col("_at") + 1).alias("rank"))
 
 
