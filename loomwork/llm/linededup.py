@@ -40,10 +40,27 @@ _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: White space of one byte in Latin-1 and other white space, without spaces and line feeds.
+_NARROW = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+_WIDE = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """normal() of each line; those without a word are empty. Texts with single spaces only are lowered as a whole."""
+    text = text.lower()
+    lines = text.split("\n")
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return [" ".join(x.split()) for x in lines]
+    for space in _NARROW if text.isascii() else _NARROW + _WIDE:
+        if space in text:
+            return [" ".join(x.split()) for x in lines]
+    return lines
+
+
 def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
@@ -60,11 +77,26 @@ def packed(line: str) -> np.ndarray | None:
     return np.ndarray(len(raw) - SHINGLE + 1, "<u8", raw, 0, (1,)) if len(raw) >= SHINGLE else None
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers, ascending."""
+    out = np.sort(numbers)
+    fresh = out[1:] != out[:-1]
+    return out if fresh.all() else out[np.concatenate(([True], fresh))]
+
+
 def similarity(a: set, b: set) -> float:
     both = len(a & b)
     return both / (len(a) + len(b) - both)
 
 
+def similarity_of_distinct(a: np.ndarray, b: np.ndarray) -> float:
+    """The same of two arrays by ``distinct``."""
+    every = np.concatenate((a, b))
+    every.sort()
+    both = int(np.count_nonzero(every[1:] == every[:-1]))
+    return both / (len(every) - both)
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """MinHash signatures, a row for each (not empty) line."""
     out = np.empty((len(lines), BANDS * ROWS), np.uint32)
@@ -120,8 +152,7 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
         for b in batches:
             doc, number, hashes, at, new = [], [], [], [], []
             for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, line in enumerate((t or "").split("\n")):
-                    line = normal(line)
+                for k, line in enumerate(normal_lines(t or "")):
                     if line:
                         h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
                         doc.append(doc_id)
@@ -156,7 +187,7 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     at = F.pmod("h", F.lit(bits)) + 1
     rows = hashes.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p"))
     out = np.zeros((bits // 32768, 4096), np.uint8)
-    for r in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
+    for r in rows.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():  # one job, not one a partition
         out[r["b"] - 1] = np.frombuffer(r["m"], np.uint8)
     return out.reshape(-1)
 
@@ -172,8 +203,7 @@ def texts_of(docs: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
         for b in batches:
             hashes, lines = [], []
             for t in b.column(0).to_pylist():
-                for line in (t or "").split("\n"):
-                    line = normal(line)
+                for line in normal_lines(t or ""):
                     if line:
                         h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63)
                         at = h % bits
@@ -259,7 +289,7 @@ class _Lines:
             self.sets = [np.fromiter({number.setdefault(s, len(number)) for s in shingles(t)}, np.int64) for t in texts]
             total = len(number)
         else:
-            arrays = [np.unique(x) for x in arrays]
+            arrays = [distinct(x) for x in arrays]
             known, place = np.unique(np.concatenate(arrays), return_inverse=True)
             self.sets = np.split(place, np.cumsum([len(x) for x in arrays])[:-1])
             total = len(known)
@@ -353,7 +383,7 @@ def _searched(dealt: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block: int) -> DataFrame:
-    """(a, b): links that connect what is connected in each band of huge (key, h, n), together with the known links.
+    """(a, b): links that connect what is connected by the known links and in each band of huge (key, h, n).
 
     A band is cut into blocks by the hash of its lines, and each block is searched together with a few lines that all
     blocks of the band have, so that a band of similar lines becomes one component, block by block. Only lines that are
@@ -367,31 +397,30 @@ def _searched_in_blocks(huge: DataFrame, own: DataFrame, known: DataFrame, block
     dealt = cut.select("key", "i", "h").unionByName(some).distinct().select("key", "i", F.lit(-1).cast("long").alias("j"), F.lit(None).cast("int").alias("side"), "h")
     inside = _searched(dealt, own)
 
-    lines = cut.select("h").distinct()
-    ends = lambda e, c: e.join(lines.select(F.col("h").alias(c)), c, "left_semi")
-    roots = connected_components(inside.unionByName(ends(ends(known, "a"), "b")))
+    roots = connected_components(known.unionByName(inside))
+    reached = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars in place of all links so far
     placed = cut.join(roots, cut.h == roots.node, "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
     placed = stage(placed, "placed", codec=PLAIN)
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
     rest = stage(placed.join(largest, "key").where("root <> largest").select("key", "h"), "rest", codec=PLAIN)
+    if rest.isEmpty():
+        return reached
     parts = rest.groupBy("key").agg(blocks(F.count("*")).alias("rows"))
-    if parts.isEmpty():
-        return inside
     columns = blocks(F.col("n"))
     grid = placed.join(parts, "key")
     left = rest.join(placed.select("key", "h", "n"), ["key", "h"]).join(parts, "key")
     left = left.withColumn("j", F.explode(F.sequence(zero, columns - 1))).select("key", F.pmod(F.xxhash64("h"), F.col("rows")).alias("i"), "j", F.lit(0).alias("side"), "h")
     right = grid.withColumn("i", F.explode(F.sequence(zero, F.col("rows") - 1))).select("key", "i", F.pmod(F.xxhash64("h"), columns).alias("j"), F.lit(1).alias("side"), "h")
-    return inside.unionByName(_searched(left.unionByName(right), own))
+    return reached.unionByName(_searched(left.unionByName(right), own))
 
 
 def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> DataFrame:
-    """(a, b) hashes of different lines that are similar; enough of them to connect all that are connected."""
+    """(a, b) hashes of different lines of one component; enough of them to connect all that are connected."""
     keyed = lines.where("size(bands) > 0").select(F.explode("bands").alias("key"), "h").repartition("key").sortWithinPartitions("key")  # one number to sort by
     found = stage(keyed.mapInArrow(_candidates, "a long, b long, key long"), "candidates", NARROW_ROWS, PLAIN)
     pairs = found.where("b is not null").select("a", "b").distinct()
-    large = found.where("b is null").select("key", F.col("a").alias("h")).distinct()
+    large = stage(found.where("b is null").select("key", F.col("a").alias("h")).distinct(), "large", codec=PLAIN)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(large.select("h")).distinct()
     wanted = stage(wanted, "wanted", codec=PLAIN)
     with_text = stage(texts_of(docs, text, bitmap(wanted)).join(wanted, "h", "left_semi"), "texts", TEXT_ROWS)
@@ -403,19 +432,19 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
         for b in batches:
             a, z = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows = zip(a, z, b.column(2).to_pylist(), b.column(3).to_pylist())
-            good, last, plain, sets = [], None, None, (set(), None)
+            good, last, plain, other = [], None, None, None
             for x, y, s, t in rows:  # rows of one line follow each other
                 if joined.find(x) == joined.find(y):
                     continue  # connected by links that are found already
                 if t != last:
-                    last, plain = t, packed(t)
-                    sets = (shingles(t), None) if plain is None else (None, set(plain.tolist()))
+                    last, plain, other = t, packed(t), None
+                    plain = plain if plain is None else distinct(plain)
                 own = None if plain is None else packed(s)
                 if own is not None:
-                    near = similarity(set(own.tolist()), sets[1])
+                    near = similarity_of_distinct(distinct(own), plain)
                 else:
-                    sets = (sets[0] or shingles(t), sets[1])
-                    near = similarity(shingles(s), sets[0])
+                    other = other or shingles(t)
+                    near = similarity(shingles(s), other)
                 if near >= SIMILARITY:
                     good.append((x, y))
                     joined.join(x, y)
@@ -429,12 +458,12 @@ def links(docs: DataFrame, lines: DataFrame, text: str, block: int = BLOCK) -> D
 
     counts = large.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     long, none = F.lit(0).cast("long"), F.lit(None).cast("int")
+    counts = stage(counts, "counts", codec=PLAIN)
     if counts.isEmpty():
         return verified.unionByName(_searched(large.select("key", long.alias("i"), long.alias("j"), none.alias("side"), "h"), own))
-    counts = stage(counts, "counts", codec=PLAIN)
     usual = large.join(counts, "key", "left_anti").select("key", long.alias("i"), long.alias("j"), none.alias("side"), "h")
     found = verified.unionByName(_searched(usual, own))
-    return found.unionByName(_searched_in_blocks(large.join(counts, "key"), own, found, block))
+    return _searched_in_blocks(large.join(counts, "key"), own, found, block)
 
 
 def line_components(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:

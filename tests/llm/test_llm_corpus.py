@@ -307,6 +307,35 @@ def test_lines_against_brute_force(spark):
     assert linededup.line_components(d.limit(0)).count() == 0
 
 
+def test_line_bitmap_is_fetched_by_one_job(spark):
+    hashes = [r.h for r in spark.range(500).selectExpr("xxhash64(id) AS h").collect()]
+    d = spark.createDataFrame([(h,) for h in hashes], "h long")
+    spark.sparkContext.setJobGroup("bitmap", "bitmap")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        filled = linededup.bitmap(d)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(filled[(at := h % (len(filled) * 8)) >> 3] >> (at & 7) & 1 for h in hashes)
+    assert int(np.bitwise_count(filled).sum()) <= 500
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("bitmap")) <= 4
+
+
+def test_lines_lowered_as_a_whole_are_as_by_themselves():
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 10]
+    texts = ["", " ", "\n", "A b\n\nC", "ΑΣ\nΣΑΣ ΑΣ.\nΣ", "İI ſ\nẞ", " A", "A ", "A\n B", "A \nB", "a  b", *(f"Ab{x}Cd\nE" for x in spaces), *(f"é{x}\nÉ" for x in spaces)]
+    for t in texts:
+        assert linededup.normal_lines(t) == [linededup.normal(x) for x in t.split("\n")]
+
+
+def test_similarity_of_sorted_numbers():
+    a, b = "abcabcabcabcabcabd", "xabcabcabcabcabcabc"
+    x, y = (linededup.distinct(linededup.packed(t)) for t in (a, b))
+    assert linededup.similarity_of_distinct(x, y) == linededup.similarity(linededup.shingles(a), linededup.shingles(b))
+
+
 def test_signatures_estimate_similarity():
     a = "the quick brown fox jumps over the lazy dog and runs away into the woods"
     b = a.replace("lazy", "lamy")

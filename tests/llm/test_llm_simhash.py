@@ -130,6 +130,27 @@ def test_components_of_random_graphs(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs_of(spark, group, work):
+    """What the work gives, and how many jobs it ran."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_edges_take_one_task_and_many_take_rounds(spark):
+    r = random.Random(2)
+    pairs = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(400)] + [(1000 + i, 1001 + i) for i in range(90)]
+    edges = spark.createDataFrame(pairs + pairs[:50], "a long, b long").repartition(3)
+    work = lambda at_once: lambda: sorted(map(tuple, connected_components(edges, at_once=at_once).collect()))
+    few, jobs = jobs_of(spark, "few", work(1 << 20))
+    forest, _ = jobs_of(spark, "forest", work(500))  # few enough once each task has dropped what connects nothing new
+    many, _ = jobs_of(spark, "many", work(0))
+    assert few == forest == many
+    assert jobs <= 6
+
+
 def blocks_case(r, sizes):
     """(anchor, fingerprint) in order: for each anchor so many fingerprints, some of them linked."""
     keys, fps = [], []
