@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import TEXT_ROWS, new_folder, stage
+from loomwork.llm.common import TEXT_ROWS, keep_freed_memory, new_folder, stage
 from loomwork.llm.files import Output, reader
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -382,6 +382,7 @@ def write(
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         encoder = encoder_of(tokenizer or tokenizer_path(), library)
         vocabulary = encoder.tokenizer.get_vocab_size()
         part, number = TaskContext.get().partitionId(), 0
@@ -438,6 +439,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         for b in batches:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 with reader(folder, name) as file:

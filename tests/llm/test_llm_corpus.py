@@ -1,9 +1,13 @@
 import hashlib
 import math
+import platform
 import random
+import subprocess
+import sys
 import warnings
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 from loomwork.llm import linededup, mixing, quality, tokenbin, warc
 from loomwork.llm.common import new_folder, stage
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 # ---- archives
 
@@ -307,6 +313,25 @@ def test_lines_against_brute_force(spark):
     assert linededup.line_components(d.limit(0)).count() == 0
 
 
+def test_freed_memory_serves_the_next_arrays():
+    code = """
+import resource
+import numpy as np
+from loomwork.llm import common
+common.keep_freed_memory()
+work = lambda: [np.ones(1 << 19, np.uint32) for _ in range(8)]
+work()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in range(20):
+    work()
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    if platform.libc_ver()[0] != "glibc":
+        pytest.skip("another C library")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert int(out.stdout) < 10_000  # of 81,920 pages
+
+
 def test_line_bitmap_is_fetched_by_one_job(spark):
     hashes = [r.h for r in spark.range(500).selectExpr("xxhash64(id) AS h").collect()]
     d = spark.createDataFrame([(h,) for h in hashes], "h long")
